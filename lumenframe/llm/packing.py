@@ -168,7 +168,7 @@ def evolve(sizes: list[int], population: list[Bins], length: int, generations: i
 def _island(length: int, generations: int, most: int):
     """applyInArrow function: one row for each piece, with its bin in each packing the island has (column ``bins``)."""
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         group = group.sort_by("row")
         sizes = group.column("length").to_pylist()
         given = np.array(group.column("bins").to_pylist(), np.int64).reshape(len(sizes), -1)

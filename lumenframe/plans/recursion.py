@@ -34,12 +34,15 @@ def union_all(spark: SparkSession, name: str, columns: list[str], seed: str, ste
 def union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 1_000_000) -> DataFrame:
     """The least fixed point of seed and step, each row once."""
     seen = frontier = checkpointed(seed.distinct())
-    for _ in range(limit):
+    for n in range(1, limit + 1):
         found = step(frontier)
         if found.columns != seen.columns:
             found = found.toDF(*seen.columns)
         frontier = checkpointed(found.distinct().subtract(seen))
         if frontier.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        # A union of written rounds; it is written itself now and then, so that plans stay short.
+        seen = seen.unionByName(frontier)
+        if n % 16 == 0:
+            seen = checkpointed(seen)
     raise RecursionError_(f"no fixed point after {limit} rounds")

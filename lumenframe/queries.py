@@ -531,7 +531,7 @@ def _(s, d):
 
 @key("cte_materialized", f"WITH cte0 AS MATERIALIZED ({SUBTOTAL}) SELECT count(*) AS n FROM cte0 a JOIN cte0 b ON a.l_orderkey = b.l_orderkey + 1")
 def _(s, d):
-    once = recursion.checkpointed(subtotals(s, d))
+    once = subtotals(s, d).persist()
     return once.alias("a").join(once.alias("b"), c("a.l_orderkey") == c("b.l_orderkey") + 1).agg(F.count("*").alias("n"))
 
 

@@ -81,13 +81,13 @@ def standard() -> Registry:
 
 
 def apply(df: DataFrame, registry: Registry, decode: bool = True) -> DataFrame:
-    """Decodes (or encodes) the columns whose field metadata names a codec: {"codec": [id, version]}."""
+    """Decodes (or encodes) the columns whose field metadata names a codec: {"codec": id, "codec_version": version}."""
     cols = []
     for f in df.schema.fields:
         key = f.metadata.get("codec") if f.metadata else None
         c = F.col(f"`{f.name}`")
         if key:
-            codec = registry.find("", (key[0], int(key[1])))
+            codec = registry.find("", (key, int(f.metadata.get("codec_version", 1))))
             c = (codec.decode if decode else codec.encode)(c).alias(f.name, metadata=f.metadata)
         cols.append(c)
     return df.select(*cols)

@@ -239,8 +239,15 @@ def printf(template: str, *args: Column) -> Column:
     return F.format_string(text, *used) if used else F.format_string(text)
 
 
+def _whole_json(x: Column) -> Column:
+    """The parser ignores what follows a value; inside brackets and inside braces it cannot."""
+    alone = F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1
+    inside = F.try_parse_json(F.concat(F.lit('{"a":'), x, F.lit("}"))).isNotNull()
+    return F.coalesce(F.try_parse_json(x).isNotNull() & alone & inside, F.lit(False))
+
+
 def json_valid(x: Column) -> Column:
-    return F.coalesce(F.try_parse_json(x).isNotNull(), F.lit(False))
+    return _whole_json(x)
 
 
 def json_array_length(x: Column, path: str | None = None) -> Column:
@@ -248,7 +255,7 @@ def json_array_length(x: Column, path: str | None = None) -> Column:
     if path is not None:
         x = F.get_json_object(x, path)
         return F.when(x.isNotNull(), F.coalesce(F.json_array_length(x), F.lit(0)).cast("bigint"))
-    return F.when(F.try_parse_json(x).isNotNull(), F.coalesce(F.json_array_length(x), F.lit(0)).cast("bigint"))
+    return F.when(_whole_json(x), F.coalesce(F.json_array_length(x), F.lit(0)).cast("bigint"))
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------

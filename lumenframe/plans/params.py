@@ -25,6 +25,15 @@ class Param:
     nullable: bool = False
 
 
+def literal(value, kind: str):
+    """A literal of the declared type, as SQL text takes it for a marker."""
+    if value is None:
+        return F.lit(None)
+    if kind in ("bigint", "long"):
+        return F.expr(f"{int(value)}L")
+    return F.lit({"double": float, "string": str, "int": int, "boolean": bool}.get(kind, lambda v: v)(value))
+
+
 @dataclass(frozen=True)
 class QueryDef:
     """``body`` is SQL text with :name (or ?) markers, or a function of a session and the bound columns by name."""
@@ -50,11 +59,14 @@ class QueryDef:
                 raise BindingError(f"{p.name} may not be null")
             if isinstance(v, float) and v != v:
                 raise BindingError(f"{p.name} is not a number")
-        return {p.name: F.lit(values[p.name]).cast(p.type) for p in self.params}
+        return {p.name: values[p.name] for p in self.params}
 
     def df(self, spark: SparkSession, **values) -> DataFrame:
         bound = self.bind(values)
-        out = spark.sql(self.body, args=bound) if isinstance(self.body, str) else self.body(spark, **bound)
+        if isinstance(self.body, str):
+            out = spark.sql(self.body, args={p.name: literal(bound[p.name], p.type) for p in self.params})
+        else:
+            out = self.body(spark, **{p.name: F.lit(bound[p.name]).cast(p.type) for p in self.params})
         return validate(out, self.result) if self.result is not None else out
 
     def fetch(self, spark: SparkSession, **values):

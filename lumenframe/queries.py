@@ -542,7 +542,7 @@ EXPRESSIONS = {
     "int_arith": ("part", "p_partkey", lambda: c("p_size") * 3 + c("p_partkey") - 7, "p_size * 3 + p_partkey - 7"),
     "int_div": ("part", "p_partkey", lambda: X.int_div(c("p_partkey") - 900, c("p_size") % 3), "CAST((p_partkey - 900) // nullif(p_size % 3, 0) AS BIGINT)"),
     "int_mod": ("part", "p_partkey", lambda: X.int_mod(c("p_partkey") - 900, (c("p_size") % 4).cast("bigint")), "(p_partkey - 900) % nullif(p_size % 4, 0)"),
-    "real_arith": ("lineitem", "l_orderkey", lambda: F.round(X.real_div(c("l_extendedprice") * (1 + c("l_tax")) - 5.0, c("l_discount")), 3), "round((l_extendedprice * (1 + l_tax) - 5.0) / nullif(l_discount, 0), 3)"),
+    "real_arith": ("lineitem", "l_orderkey", lambda: F.round(X.real_div(c("l_extendedprice") * (1 + c("l_tax")) - 5.0, c("l_discount")), 6), "round((l_extendedprice * (1 + l_tax) - 5.0) / nullif(l_discount, 0), 6)"),
     "unary": ("customer", "c_custkey", lambda: -c("c_acctbal") + F.positive(c("c_acctbal")) * 2, "-c_acctbal + (+c_acctbal) * 2"),
     "bitwise_not": ("customer", "c_custkey", lambda: F.bitwise_not(c("c_custkey")), "~c_custkey"),
     "abs": ("customer", "c_custkey", lambda: F.abs("c_acctbal"), "abs(c_acctbal)"),
@@ -584,7 +584,7 @@ def event_times(s, d):
 
 
 EVENTS = "(SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN date_trunc('millisecond', ts) END AS t FROM events)"
-CARRY = "CAST(date_trunc('month', t + INTERVAL {0} MONTH) + INTERVAL (day(t) - 1) DAY AS DATE)"
+CARRY = "CAST(date_trunc('month', t + INTERVAL ({0}) MONTH) + INTERVAL (day(t) - 1) DAY AS DATE)"
 DATES = {
     "date_fn": (lambda: dates.date(c("x")), "strftime(t, '%Y-%m-%d')"),
     "time_fn": (lambda: dates.time(c("x")), "strftime(t, '%H:%M:%S')"),
@@ -617,12 +617,12 @@ def _(s, d):
     return event_times(s, d).select("event_id", dates.year(x).alias("y"), dates.month(x).alias("m"), dates.day(x).alias("d"), dates.hour(x).alias("h"), dates.minute(x).alias("mi"), dates.second(x).alias("s"))
 
 
-@key("codec_dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || printf('%03d', CAST((epoch_us(ts) // 1000) % 1000 AS INTEGER)) || 'Z' AS text, CAST(round(epoch_us(ts) / 1000.0) AS BIGINT) AS millis, round(epoch_us(ts) / 86400000000.0 + 2440587.5, 7) AS julian FROM events")
+@key("codec_dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || printf('%03d', CAST((epoch_us(ts) // 1000) % 1000 AS INTEGER)) || 'Z' AS text, CAST(round(epoch_us(ts) / 1000.0) AS BIGINT) AS millis, round(epoch_us(ts) / 86400000000.0 + 2440587.5, 5) AS julian FROM events")
 def _(s, d):
     r = codecs.standard()
     ts = c("ts").cast("timestamp")
     enc = lambda k: r.find("timestamp", (k, 1)).encode(ts)
-    return scan(s, d, "events").select("event_id", enc("date-text").alias("text"), enc("date-millis").alias("millis"), F.round(enc("date-julian"), 7).alias("julian"))
+    return scan(s, d, "events").select("event_id", enc("date-text").alias("text"), enc("date-millis").alias("millis"), F.round(enc("date-julian"), 5).alias("julian"))
 
 
 @key("nested_composite", "SELECT o_orderkey, c_custkey AS customer_c_custkey, c_name AS customer_c_name FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -68,6 +68,8 @@ def test_printf(spark):
 def test_json(spark):
     got = values(spark, *[X.json_array_length(F.lit(j)) for j in ("[1,2]", '{"a":1}', "[")], X.json_array_length(F.lit('{"a":[1]}'), "$.a"), X.json_array_length(F.lit("{}"), "$.b"), X.json_valid(F.lit("[1")), X.json_valid(F.lit(None).cast("string")))
     assert got == [2, 0, None, 1, None, False, False]
+    texts = ["1", '{"k": 1}', '{"k": 1}}', "1,2", "1] , [2", '1,"b":2', "", "null", '"a"', "[1,]"]
+    assert [int(x) for x in values(spark, *[X.json_valid(F.lit(t)) for t in texts])] == sqlite(*[f"json_valid('{t}')" for t in texts])
 
 
 def test_aggregates_over_nothing(spark):
@@ -112,7 +114,7 @@ def test_codecs_round_trip(spark):
 
 
 def test_codec_by_metadata(spark):
-    schema = T.StructType([T.StructField("t", T.StringType(), metadata={"codec": ["date-text", 1]})])
+    schema = T.StructType([T.StructField("t", T.StringType(), metadata={"codec": "date-text", "codec_version": 1})])
     df = codecs.apply(spark.createDataFrame([("2024-01-01T00:00:00.000Z",)], schema), codecs.standard())
     assert df.schema["t"].dataType == T.TimestampType()
 

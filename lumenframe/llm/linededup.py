@@ -83,15 +83,15 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns, with later copies of repeated runs deleted from text."""
     columns = documents.columns
-    df = keyed(documents).join(repeated_lines(documents, min_words), ["_id", "_key"], "left")
+    df = keyed(documents).join(repeated_lines(documents, min_words).withColumnRenamed("places", "_places"), ["_id", "_key"], "left")
     # Lines are split below the window: a lambda then looks into a finished array instead of splitting the text again for each line.
     df = df.withColumn("_lines", F.split("text", "\n", -1))
     full = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), (F.trim(x) != "").alias("full"))), lambda x: x["full"])
     df = df.withColumn("_full", F.transform(full, lambda x: x["i"]))
     df = df.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))).where("_copy = 1")
-    gone = F.transform("places", lambda p: F.get("_full", p))
+    gone = F.transform("_places", lambda p: F.get("_full", p))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    df = df.withColumn("_kept", F.when(F.col("places").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")))
+    df = df.withColumn("_kept", F.when(F.col("_places").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")))
     df = df.where(F.col("_kept").isNull() | (F.trim(F.translate("_kept", "\n", " ")) != ""))
     df = df.withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in columns:

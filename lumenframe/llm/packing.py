@@ -13,6 +13,7 @@ each for itself; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,18 +24,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textbytes import slices
+from .textbytes import slices, utf8
 
 LENGTH, END_ID = 2048, 0
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2_000, 2, 2, 12, 6
-CACHE, LONG = 250_000, 64
+CACHE = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
 _known: dict[str, bytes] = {"": b""}  # of one Python worker; bounded by CACHE
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# Punctuation between a letter (ASCII, or Latin-1 as UTF-8) and a space is a token of its own, so it may be cut off.
+_TAIL = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
 
 
 class Encoder:
-    """ids of whole texts as little-endian uint32 bytes. No token crosses a space or line feed, so the parts between them are encoded once."""
+    """ids of whole texts as little-endian uint32 bytes.
+
+    The tokenizer folds case and no token crosses white space, so the parts of a text are encoded once each, many in one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,20 +49,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
 
     def ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        made = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        first = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+        of = np.searchsorted(first, np.array([o[0] for o in made.offsets], np.int64), side="right") - 1
+        ends = 4 * np.searchsorted(of, np.arange(len(parts)), side="right")
+        raw = np.array(made.ids, "<u4").tobytes()
+        return [raw[i:j] for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         global _known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {p for parts in split for p in parts if p not in _known}
-        if len(_known) + len(new) > CACHE:
-            _known = {"": b""}
-            new = {p for parts in split for p in parts if p}
-        fresh = list(new)
-        known = _known if len(fresh) < CACHE else dict(_known)
+        split = [_TAIL.sub(rb"\1 \2", t.translate(_LOWER)).replace(b"\n", b" ").decode().split(" ") for t in texts]
+        words = set().union(*split)
+        known = _known
+        fresh = list(words - known.keys())
+        if len(known) + len(fresh) > CACHE:  # what this slice uses stays
+            known = {p: known[p] for p in words if p in known}
         for i in range(0, len(fresh), 10_000):
             some = fresh[i : i + 10_000]
             known.update(zip(some, self.ids(some)))
+        _known = known if len(known) <= CACHE else {"": b""}
         for parts in split:
             yield b"".join(map(known.__getitem__, parts))
 
@@ -73,9 +85,8 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
         encoder = Encoder(path or tokenizer_path())
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").to_pylist()
-            for i, j in slices([t.encode() for t in texts]):
+            texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
+            for i, j in slices(texts):
                 rows = []
                 for doc, made in zip(ids[i:j], encoder.encode(texts[i:j])):
                     made += end

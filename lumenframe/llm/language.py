@@ -59,6 +59,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     for lang, text in rows:
         counts[lang].update(words(text))
     languages = sorted(k for k, v in counts.items() if v)
+    if not languages:
+        return Model([], [{} for _ in (1, *ORDERS)], np.zeros((0, 0), np.float32))
     kinds = [{lang: counts[lang] for lang in languages}]
     for n in ORDERS:
         grams: dict[str, Counter] = {lang: Counter() for lang in languages}

@@ -197,7 +197,7 @@ def test_scoring(spark):
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert r.score < 0
     held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.02
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.12  # 160 training documents; see the README for larger tables
 
 
 def test_scoring_of_odd_rows(spark, odd):

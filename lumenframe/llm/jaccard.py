@@ -31,7 +31,7 @@ from .textbytes import PRIME, Words, mixed, slices, utf8
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 64, 3
-SIGNED_BLOCK, BLOCK = 256, 128
+SIGNED_BLOCK, BLOCK = 1024, 128
 SLACK = 0.2  # how far below the threshold a signature's estimate may lie (4 standard errors)
 
 

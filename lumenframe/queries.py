@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,13 @@ from .functions import codecs, dates
 from .functions import exprs as X
 from .functions.udf import scalar
 from .operators import dml
+from .operators.txn import Store
 from .plans import recursion
 from .plans.params import Param, QueryDef, indexed
 from .plans.query import ascending, descending, exactly_one, fetch_at_most, fetch_one, row, select
+from .sources.shared import shared_dir
 from .sources.tables import TableDef, nested, scan, validate, view
+from .streaming.live import LiveQuery, file_snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -806,6 +810,64 @@ def _(s, d):
     return validate(df, T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType())]))
 
 
+# --- transactions and live queries -----------------------------------------------------------------------------------
+
+
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/lumenframe/{uuid.uuid4().hex}"
+
+
+def _store(s, d) -> Store:
+    store = Store(s, _folder(s))
+    with store.transaction() as t:
+        t.write("supplier", scan(s, d, "supplier"))
+    return store
+
+
+@key("txn_commit", "SELECT * FROM (SELECT s_suppkey, s_name, s_nationkey, s_acctbal + CASE WHEN s_nationkey = 3 THEN 1 ELSE 0 END AS s_acctbal FROM supplier) WHERE NOT (s_acctbal < 2000)")
+def _(s, d):
+    store = _store(s, d)
+    with store.transaction() as t:
+        t.apply("supplier", dml.update(t.read("supplier"), {"s_acctbal": c("s_acctbal") + 1}, c("s_nationkey") == 3))
+        t.apply("supplier", dml.delete(t.read("supplier"), c("s_acctbal") < 2000))
+    return store.read("supplier")
+
+
+class _GaveUp(Exception):
+    pass
+
+
+@key("txn_rollback", "SELECT * FROM supplier")
+def _(s, d):
+    store = _store(s, d)
+    try:
+        with store.transaction() as t:
+            t.apply("supplier", dml.delete(t.read("supplier"), c("s_acctbal") < 2000))
+            raise _GaveUp
+    except _GaveUp:
+        pass
+    return store.read("supplier")
+
+
+@key("live_query", "SELECT s_nationkey, count(*) AS n FROM supplier WHERE NOT (s_acctbal < 2000) GROUP BY 1")
+def _(s, d):
+    store = _store(s, d)
+    counts = lambda x: x.read("supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    live = LiveQuery(store, counts, ["supplier"])
+    live.poll()  # the first snapshot; the commit calls for another
+    with store.transaction() as t:
+        t.apply("supplier", dml.delete(t.read("supplier"), c("s_acctbal") < 2000))
+    return _rows(s, live.poll(), counts(store))
+
+
+@key("live_query_batch", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1")
+def _(s, d):
+    folder, orders = _folder(s), f"{d}/orders*.parquet"  # a stream takes a pattern or a folder, not one file
+    counts = lambda df: df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    file_snapshots(s, orders, s.read.parquet(orders).schema, counts, f"{folder}/progress", lambda n, df: df.write.mode("overwrite").parquet(f"{folder}/snapshot"))
+    return s.read.parquet(f"{folder}/snapshot")
+
+
 FLAGSHIP = "SELECT c.c_custkey, c.c_name, ROUND(SUM(l.l_extendedprice*(1-l.l_discount)),2) AS revenue, COUNT(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey=o.o_orderkey JOIN {customer} c ON o.o_custkey=c.c_custkey GROUP BY c.c_custkey, c.c_name HAVING COUNT(*)>10 ORDER BY revenue DESC, c.c_custkey LIMIT 10"
 
 

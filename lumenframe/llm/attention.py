@@ -17,8 +17,8 @@ BLOCK, WIDTH, KEY, HIDDEN, MEMBERS = 16, 24, 8, 48, 32
 class Vocabulary:
     """compact: from a tokenizer's id to a number below ``size``, or ``size`` for the others; log10 of the others' shares."""
 
-    def __init__(self, counts: np.ndarray, end_count: int, size: int = 32 * MEMBERS):
-        self.size, self.end, self.begin = size, size - 1, size + 1  # the last slot is the end of a text
+    def __init__(self, counts: np.ndarray, end_count: int, size: int = 32 * MEMBERS, members: int = MEMBERS):
+        self.size, self.members, self.end, self.begin = size, members, size - 1, size + 1  # the last slot is the end of a text
         order = np.argsort(-counts, kind="stable")[: size - 1]
         self.compact = np.full(len(counts), size, np.int32)
         self.compact[order] = np.arange(len(order))
@@ -31,6 +31,15 @@ class Vocabulary:
         self.frequency = frequency + 0.5
 
 
+def table_shape(counts: np.ndarray, enough: int = 100) -> tuple[int, int]:
+    """Size of the table and members of a class, near its root: room for every id seen ``enough`` times, and for 1,023 at least."""
+    ids = int((counts >= enough).sum()) + 1
+    members = MEMBERS
+    while members * members < ids:
+        members += MEMBERS
+    return max(-(-ids // members), MEMBERS) * members if members == MEMBERS else -(-ids // members) * members, members
+
+
 def blocks_of(sequences: list[np.ndarray], vocabulary: Vocabulary):
     """inputs and targets (blocks x BLOCK), places that count, blocks that begin a text, text of each block."""
     sizes = np.array([len(s) + 1 for s in sequences], np.int64)
@@ -60,30 +69,61 @@ _FIRST = np.r_[np.full(BLOCK, -1e9), np.zeros(BLOCK)].astype(np.float32)
 NARROW, WIDE = 64, 1024
 
 
+def joint_counts(before: np.ndarray, ids: np.ndarray, n: np.ndarray, size: int):
+    """Pair counts across words, drawn towards the case that words are independent: the counts that stay, and the spread for :class:`Prior`.
+
+    How far is what predicts each pair best from all the others.
+    """
+    total, shares = np.bincount(before, weights=n, minlength=size + 2), np.bincount(ids, weights=n, minlength=size + 1)
+    shares = shares / max(shares.sum(), 1)
+    left_out = lambda k: (n * np.log((n - 1 + k * shares[ids]) / (total[before] - 1 + k))).sum()
+    k = max(10.0 ** np.arange(1, 7), key=left_out)
+    return n * (total / (total + k))[before], (k * total / (total + k), shares)
+
+
 class Prior:
-    """Log probabilities of classes, and of members within their class, given the id before."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, pull: float = 20.0):
-        """pairs: counts by (id before, id), both compact; rows: the table, the others, the begin of a text."""
-        classes = vocabulary.size // MEMBERS
-        overall = vocabulary.frequency / vocabulary.frequency.sum()
-        share = (pairs + pull * overall) / (pairs.sum(1, keepdims=True) + pull)
-        inside = share[:, :-1].reshape(len(share), classes, MEMBERS)
-        by_class = np.concatenate([inside.sum(2), share[:, -1:]], axis=1)
+    """Log probabilities of classes, and of members within their class, given the id before.
+
+    Members have a row for each id and class seen after it, and one for each class after all other ids: ``place`` has the row of each.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pairs, spread=None, pull: float = 20.0):
+        """pairs: counts by (id before, id), both compact, or arrays of ids before, ids and counts; rows: the table, the others, the begin of a text.
+
+        spread: further counts of each id before, dealt over the ids by given shares.
+        """
+        if isinstance(pairs, np.ndarray):
+            pairs = (*(at := np.nonzero(pairs)), pairs[at])
+        before, ids, n = pairs
+        members, classes = vocabulary.members, vocabulary.size // vocabulary.members
+        pulled = pull * vocabulary.frequency / vocabulary.frequency.sum()
+        more, shares = spread or (np.zeros(vocabulary.size + 2), np.zeros(vocabulary.size + 1))
+        inside, dealt, group = pulled[:-1].reshape(classes, members), shares[:-1].reshape(classes, members), ids // members
+        by_class = np.append(inside.sum(1), pulled[-1]) + more[:, None] * np.append(dealt.sum(1), shares[-1])
+        np.add.at(by_class, (before, group), n)
+        by_class /= by_class.sum(1, keepdims=True)
         self.classes = np.log(by_class).astype(np.float32)
-        self.members = np.log(inside / inside.sum(2, keepdims=True)).astype(np.float32).reshape(-1, MEMBERS)
+        known = group < classes
+        keys, where = np.unique(before[known] * classes + group[known], return_inverse=True)
+        self.row_class = np.concatenate([keys % classes, np.arange(classes)])
+        usual = more @ more / max(more.sum(), 1e-9)
+        rows = inside[self.row_class] + np.append(more[keys // classes], np.full(classes, usual))[:, None] * dealt[self.row_class]
+        np.add.at(rows, (where, ids[known] % members), n[known])
+        self.members = np.log(rows / rows.sum(1, keepdims=True)).astype(np.float32)
+        self.place = np.tile(np.arange(len(keys), len(rows), dtype=np.int32), vocabulary.size + 2)
+        self.place[keys] = np.arange(len(keys))
 
 
 def fresh(vocabulary: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    classes = vocabulary.size // MEMBERS
+    members, classes = vocabulary.members, vocabulary.size // vocabulary.members
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     return {
         "embedding": normal(vocabulary.size + 2, WIDTH, scale=0.5), "query": normal(WIDTH, KEY, scale=0.3), "key": normal(WIDTH, KEY, scale=0.3),
         "value": normal(WIDTH, WIDTH, scale=0.2), "back": np.zeros(2 * BLOCK, np.float32),
         "mix": normal(2 * WIDTH, HIDDEN, scale=0.2), "mix_bias": np.zeros(HIDDEN, np.float32),
         "classes": normal(HIDDEN, classes + 1, scale=0.02), "class_bias": np.zeros(classes + 1, np.float32),
-        "members": normal(classes, HIDDEN, MEMBERS, scale=0.02), "member_bias": np.zeros((classes, MEMBERS), np.float32),
+        "members": normal(classes, HIDDEN, members, scale=0.02), "member_bias": np.zeros((classes, members), np.float32),
     }
 
 
@@ -118,7 +158,7 @@ class Scorer:
         self.back = np.exp(p["back"][_BACK] + _CAUSAL)
         self.classes, self.members = p["classes"], p["members"]
         self.class_bias = prior.classes + p["class_bias"]
-        self.member_bias = (prior.members.reshape(len(e), -1, MEMBERS) + p["member_bias"]).reshape(-1, MEMBERS)
+        self.member_bias, self.place = prior.members + p["member_bias"][prior.row_class], prior.place
 
     def hidden(self, inputs: np.ndarray, first: np.ndarray, before: np.ndarray | None) -> np.ndarray:
         """before: the block before the first one, for a chunk that does not begin with a text."""
@@ -146,22 +186,23 @@ class Scorer:
         return out
 
     def _output(self, h: np.ndarray, before: np.ndarray, t: np.ndarray) -> np.ndarray:
-        group = t // MEMBERS
+        members = self.members.shape[2]
+        group = t // members
         a = h @ self.classes
         a += self.class_bias[before]
         chosen = a[np.arange(len(t)), group]
         np.exp(a, out=a)
         total = a @ np.ones(a.shape[1], np.float32)
-        order = np.argsort(group.astype(np.int8), kind="stable")
+        order = np.argsort(group.astype(np.int16), kind="stable")
         ends = np.searchsorted(group[order], np.arange(len(self.members) + 1))
         h, known = h[order], order[: ends[-1]]
-        b = np.empty((len(known), MEMBERS), np.float32)
+        b = np.empty((len(known), members), np.float32)
         for c in range(len(self.members)):
             np.matmul(h[ends[c] : ends[c + 1]], self.members[c], out=b[ends[c] : ends[c + 1]])
-        b += self.member_bias[before[known] * len(self.members) + group[known]]
-        own = b[np.arange(len(known)), t[known] % MEMBERS]
+        b += self.member_bias[self.place[before[known] * len(self.members) + group[known]]]
+        own = b[np.arange(len(known)), t[known] % members]
         np.exp(b, out=b)
-        total[known] *= b @ np.ones(MEMBERS, np.float32)
+        total[known] *= b @ np.ones(members, np.float32)
         chosen[known] += own
         return chosen - np.log(total)
 
@@ -170,7 +211,8 @@ def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, va
     """Of the mean negative log probability of the valid places."""
     x, q, k2, v2, s, z, h = _forward(p, inputs, first)
     t, w = targets.reshape(-1), (valid.reshape(-1) / max(1, valid.sum())).astype(np.float32)
-    group = t // MEMBERS
+    members = p["members"].shape[2]
+    group = t // members
     g: dict[str, np.ndarray] = {}
     before = inputs.reshape(-1)
     a = h @ p["classes"] + p["class_bias"] + prior.classes[before]
@@ -186,10 +228,10 @@ def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, va
     for c in range(len(p["members"])):
         rows = order[ends[c] : ends[c + 1]]
         if len(rows):
-            b = h[rows] @ p["members"][c] + p["member_bias"][c] + prior.members[before[rows] * len(p["members"]) + c]
+            b = h[rows] @ p["members"][c] + p["member_bias"][c] + prior.members[prior.place[before[rows] * len(p["members"]) + c]]
             b = np.exp(b - b.max(1, keepdims=True))
             b /= b.sum(1, keepdims=True)
-            b[np.arange(len(rows)), t[rows] - c * MEMBERS] -= 1
+            b[np.arange(len(rows)), t[rows] - c * members] -= 1
             b *= w[rows, None]
             g["members"][c], g["member_bias"][c] = h[rows].T @ b, b.sum(0)
             dh[rows] += b @ p["members"][c].T

@@ -1,9 +1,9 @@
 """Language-model scoring of whole documents.
 
-Word counts of all training documents are summed in Spark; from them come the base score, the table of subword ids and the
-corpus bigrams the model starts from. A causal self-attention model (:mod:`attention`) is first trained on a few documents,
-then every input task trains a copy of it on its own share of the training documents (one of ``SHARE``), and the
-copies are averaged, so what is gathered grows with the corpus. Scoring tokenises each distinct word once, and each
+Word counts of all training documents are summed in Spark; from them come the base score and, with the pairs of ids where words
+meet, the table of subword ids, which grows with the corpus, and the corpus bigrams the model starts from. A causal
+self-attention model (:mod:`attention`) is first trained on a few documents, then every input task trains a copy of it
+on all its training documents, and the copies are averaged. Scoring tokenises each distinct word once, and each
 position is scored once under overlapping windows.
 
 Counts of the ``HEAD`` most frequent words are sent to all tasks; those of other words are joined by word.
@@ -30,7 +30,7 @@ from .common import fold, staged
 from .textbytes import slices, utf8
 
 HEAD, HEAD_BYTES = 100_000, 64
-PILOT, SHARE, CACHE = 800, 32, 300_000
+PILOT, CACHE, PAIRS = 800, 300_000, 4_000_000
 PILOT_EPOCHS, PILOT_RATE, LOCAL_RATE = 4, 0.01, 0.004
 TOKENIZER = "piece_bpe_32k.model"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -72,64 +72,89 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def id_pairs(counts: DataFrame, path: str | None) -> DataFrame:
-    """a, b, n: how often id b follows id a inside words; -1 stands before a word's first id and after its last."""
+    """a, b, n: how often id b follows id a inside words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = tokenizer(path)
         for batch in batches:
             made = encode(processor, [w.encode() for w in batch.column("word").to_pylist()])
-            n = np.repeat(batch.column("c").to_numpy(), [len(x) + 1 for x in made])
-            a = np.array([i for x in made for i in (-1, *x)], np.int64)
-            b = np.array([i for x in made for i in (*x, -1)], np.int64)
-            keys, where = np.unique(((a + 1) << 32) | (b + 1), return_inverse=True)
+            n = np.repeat(batch.column("c").to_numpy(), [max(len(x) - 1, 0) for x in made])
+            a = np.array([i for x in made for i in x[:-1]], np.int64)
+            b = np.array([i for x in made for i in x[1:]], np.int64)
+            keys, where = np.unique((a << 32) | b, return_inverse=True)
             n = np.bincount(where, weights=n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32) - 1), pa.array((keys & 0xFFFFFFFF) - 1), pa.array(n)], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n)], ["a", "b", "n"])
 
-    return counts.where("word <> ''").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return counts.where("word <> ''").mapInArrow(run, "a long, b long, n long")
 
 
-def prior_from(counts: DataFrame, texts: int, path: str | None) -> tuple[Vocabulary, Prior]:
-    pairs = staged(id_pairs(counts, path), "pairs")
-    size = tokenizer(path).get_piece_size()
-    by_id = np.zeros(size, np.int64)
+def joints(documents: DataFrame, path: str | None) -> DataFrame:
+    """a, b, n: how often a word ends in id a and the next one begins with id b; -1 is the begin of a text, and its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32) - 1), pa.array((keys & 0xFFFFFFFF) - 1), pa.array(n)], ["a", "b", "n"])
+
+        processor = tokenizer(path)
+        number: dict[bytes, int] = {}
+        ends = np.zeros((0, 2), np.int64)
+        held: list[np.ndarray] = []
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for i, j in slices(texts):
+                split = [words(t) for t in texts[i:j]]
+                new = list(set().union(*split) - number.keys())
+                if len(number) + len(new) > CACHE and number:
+                    number, ends, new = {}, ends[:0], list(set().union(*split))
+                number.update(zip(new, range(len(number), len(number) + len(new))))
+                ends = np.concatenate([ends, np.array([(x[0], x[-1]) if x else (-1, -1) for x in encode(processor, new)], np.int64).reshape(-1, 2)])
+                counts = np.fromiter(map(len, split), np.int64, j - i)
+                own = ends[np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))]
+                some = own[:, 0] >= 0  # a word may have no ids
+                counts = np.bincount(np.repeat(np.arange(j - i), counts)[some], minlength=j - i)
+                gaps = np.cumsum(counts)
+                a, b = np.insert(own[some, 1], gaps - counts, -1), np.insert(own[some, 0], gaps, -1)
+                held.append(((a + 1) << 32) | (b + 1))
+                if sum(map(len, held)) > PAIRS:
+                    yield rows()
+                    held = []
+        if held:
+            yield rows()
+
+    return documents.select("text").mapInArrow(run, "a long, b long, n long")
+
+
+def prior_from(training: DataFrame, counts: DataFrame, texts: int, path: str | None) -> tuple[Vocabulary, Prior]:
+    pairs = id_pairs(counts, path).withColumn("across", F.lit(False)).unionByName(joints(training, path).withColumn("across", F.lit(True)))
+    pairs = staged(pairs.groupBy("a", "b", "across").agg(F.sum("n").alias("n")), "pairs")
+    by_id = np.zeros(tokenizer(path).get_piece_size(), np.int64)
     for r in pairs.where("b >= 0").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most one row for each id of the tokenizer
         by_id[r.b] = r.n
-    vocabulary = Vocabulary(by_id, texts)
-    table = [-1, *np.flatnonzero(vocabulary.compact < vocabulary.size).tolist()]
-    inside = lambda c: F.when(F.col(c).isin(table), F.col(c)).otherwise(-2).alias(c)
-    small = pairs.select(inside("a"), inside("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # at most the table's square
-    n = np.zeros((vocabulary.size + 2, vocabulary.size + 1))
-    first, last = np.zeros(vocabulary.size + 1), np.zeros(vocabulary.size + 2)
-    place = lambda i: vocabulary.size if i == -2 else int(vocabulary.compact[i])
-    for r in small:
-        if r.a == -1 and r.b == -1:
-            continue
-        if r.a == -1:
-            first[place(r.b)] += r.n
-        elif r.b == -1:
-            last[place(r.a)] += r.n
-        else:
-            n[place(r.a), place(r.b)] += r.n
-    total = max(first.sum(), 1.0)
-    # From word to word, first and last ids are taken as independent; each text ends once.
-    n += np.outer(last, first / total) * max(0.0, 1 - texts / total)
-    n[:, vocabulary.end] += last * min(1.0, texts / total)
-    n[vocabulary.begin, : len(first)] += first / total * texts
-    return vocabulary, Prior(vocabulary, n)
+    vocabulary = Vocabulary(by_id, texts, *attention.table_shape(by_id))
+    table = ", ".join(map(str, [-1, *np.flatnonzero(vocabulary.compact < vocabulary.size).tolist()]))
+    inside = lambda c: F.expr(f"if({c} IN ({table}), {c}, -2)").alias(c)
+    small = pairs.select(inside("a"), inside("b"), "across", "n").groupBy("a", "b", "across").agg(F.sum("n").alias("n")).toArrow()  # pairs seen of the table's ids
+    a, b, n, across = (small.column(c).to_numpy() for c in ("a", "b", "n", "across"))
+    place = np.append(vocabulary.compact.astype(np.int64), [vocabulary.size, -1])  # by id; -2 is any other one
+    a, b, n = np.where(a == -1, vocabulary.begin, place[a]), np.where(b == -1, vocabulary.end, place[b]), n.astype(np.float64)
+    n[across], spread = attention.joint_counts(a[across], b[across], n[across], vocabulary.size)
+    return vocabulary, Prior(vocabulary, (a, b, n), spread)
 
 
 class Model:
     def __init__(self, vocabulary: Vocabulary, prior: Prior, parameters: dict, path: str | None):
         self.vocabulary, self.prior, self.parameters, self.path = vocabulary, prior, parameters, path
+        self.trained = 0  # ids, ends of texts too, that the copies were trained on
 
     def sequences(self, processor, texts: list[bytes]) -> list[np.ndarray]:
         return [self.vocabulary.compact[np.array([i for x in encode(processor, words(t)) for i in x], np.int64)] for t in texts]
 
 
 def fit(training: DataFrame, counts: DataFrame, path: str | None = None) -> Model:
-    """Pilot on a few documents, then one round of local training in all tasks and an average weighted by tokens."""
+    """Pilot on a few documents, then local training in all tasks on all training documents and an average weighted by tokens."""
     row = counts.where("word = ''").agg(F.sum("c").alias("texts")).first()
-    vocabulary, prior = prior_from(counts, int(row.texts or 0), path)
+    vocabulary, prior = prior_from(training, counts, int(row.texts or 0), path)
     hashed = F.xxhash64("doc_id", F.lit(17))
     pilot = training.where("length(text) < 100000").orderBy(hashed, "doc_id").limit(PILOT).select("text").collect()  # PILOT documents
     model = Model(vocabulary, prior, attention.fresh(vocabulary), path)
@@ -139,24 +164,26 @@ def fit(training: DataFrame, counts: DataFrame, path: str | None = None) -> Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        processor, p, seen = tokenizer(m.path), m.parameters, 0
+        lookup, p, seen = Lookup(m, {}), m.parameters, 0
         for batch in batches:
             texts = utf8(batch.column("text"))
             for i, j in slices(texts):
-                made = m.sequences(processor, texts[i:j])
+                split = [words(t) for t in texts[i:j]]
+                flat, lengths = lookup.flat(lookup.numbers(split))
+                of = np.repeat(np.arange(j - i), [len(x) for x in split])
+                made = np.split(flat, np.cumsum(np.bincount(of, weights=lengths, minlength=j - i).astype(np.int64))[:-1])
                 p = attention.train(p, m.prior, made, m.vocabulary, 1, LOCAL_RATE)
                 seen += sum(len(x) + 1 for x in made)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([attention.packed(p).tolist()], pa.list_(pa.float32()))], ["weight", "parameters"])
 
-    part = training.where(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(SHARE)) == 0).select("text")
-    local = part.mapInArrow(run, "weight long, parameters array<float>").select("weight", F.posexplode("parameters").alias("at", "x"))
-    mean = local.groupBy("at").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x")).collect()  # one row for each parameter
+    local = training.select("text").mapInArrow(run, "weight long, parameters array<float>").select("weight", F.posexplode("parameters").alias("at", "x"))
+    mean = local.groupBy("at").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"), F.sum("weight").alias("seen")).collect()  # one row for each parameter
     if mean:
         vector = np.zeros(len(mean), np.float32)
         for r in mean:
             vector[r.at] = r.x
-        model.parameters = attention.unpacked(vector, model.parameters)
+        model.parameters, model.trained = attention.unpacked(vector, model.parameters), mean[0].seen
     return model
 
 
@@ -191,6 +218,12 @@ class Lookup:
         self.logs = np.concatenate([self.logs, np.array([self.head.get(w, math.nan) for w in new], float)])
         return np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
+    def flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Compact ids of the words, one after another, and how many each has."""
+        lengths = (self.starts[1:] - self.starts[:-1])[numbers]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[:-1][numbers] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
 
 def scored(documents: DataFrame, model: Model, head: dict[bytes, float]) -> DataFrame:
     """Two kinds of rows. For each document (word is null): row, doc_id, n_tokens, known and logs over head words, score.
@@ -211,10 +244,8 @@ def scored(documents: DataFrame, model: Model, head: dict[bytes, float]) -> Data
                 counts = np.array([len(x) for x in split], np.int64)
                 numbers = lookup.numbers(split)
                 doc = np.repeat(np.arange(j - i), counts)
-                pieces, starts, logs, other = lookup.ids, lookup.starts, lookup.logs, lookup.other
-                lengths = (starts[1:] - starts[:-1])[numbers]
-                ends = np.cumsum(lengths)
-                flat = pieces[np.repeat(starts[:-1][numbers] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+                logs, other = lookup.logs, lookup.other
+                flat, lengths = lookup.flat(numbers)
                 per_text = np.bincount(doc, weights=lengths, minlength=j - i).astype(np.int64)
                 inputs, targets, valid, first, text, _ = blocks_of(np.split(flat, np.cumsum(per_text)[:-1]), v)
                 lp = scorer.log_probabilities(inputs, targets, first)

@@ -204,6 +204,30 @@ def test_scoring_of_odd_rows(spark, odd):
     assert scoring.query(odd).count() == 5 and scoring.query(odd.where("false")).count() == 0
 
 
+def test_scoring_trains_on_all_documents_and_its_table_grows(spark):
+    processor = scoring.tokenizer(None)
+    some = [w for i in range(processor.get_piece_size()) if (w := processor.id_to_piece(i))[0] == "\u2581" and re.fullmatch("[a-z]{3,}", w[1:])][:1500]
+    some = [w[1:] for w in some]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample(some, len(some)))) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (120, None)], "doc_id long, text string").repartition(3)
+    model = scoring.fit(docs, scoring.word_counts(docs).cache())
+    assert model.trained == sum(len(processor.encode(w)) for _, t in rows for w in t.split()) + 121
+    assert model.vocabulary.size > 1500 and (model.vocabulary.compact[[processor.encode(w)[0] for w in some]] < model.vocabulary.size).all()
+
+
+def test_pairs_across_words_are_counted(spark):
+    processor = scoring.tokenizer(None)
+    texts = ["good day to all", "", "day to day", "good"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    want = collections.Counter()
+    for t in texts:
+        ids = [processor.encode(w) for w in t.split()]
+        want.update(zip([-1, *[x[-1] for x in ids]], [*[x[0] for x in ids], -1]))
+    got = scoring.joints(docs, None).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    assert {(r.a, r.b): r.n for r in got} == want
+
+
 def test_attention_probabilities_sum_to_one_and_match_gradients():
     counts = np.array([50, 40, 30, 20, 10, 5, 1, 0], np.int64)
     vocabulary = attention.Vocabulary(counts, 3, size=2 * attention.MEMBERS)

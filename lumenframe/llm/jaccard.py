@@ -82,7 +82,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """row, doc_id, set_key (null without words), signature, shingles (low 32 bits, ascending), once for each row."""
+    """doc_id, text_key, set_key (null without words), signature, shingles (low 32 bits, ascending), once for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +109,10 @@ def classes(documents: DataFrame) -> DataFrame:
                 signed += sig
                 sets += part
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(signed, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "set_key", "signature", "shingles"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(signed, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "text_key", "set_key", "signature", "shingles"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, set_key long, signature binary, shingles binary")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return docs.mapInArrow(run, "doc_id long, text_key long, set_key long, signature binary, shingles binary")
 
 
 def children(level: int, runs: int):
@@ -315,12 +315,17 @@ def verified(tasks: DataFrame) -> DataFrame:
     return df.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, n long")
 
 
-def join(documents: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links of every document; class_id is the least doc_id of its group of linked documents."""
+def matched(documents: DataFrame, recall: float = RECALL, keepers: bool = False) -> DataFrame:
+    """doc_id, text_key, set_key, class_id, n_links of every document; class_id is the least doc_id of its group of linked documents.
+
+    With ``keepers`` also keeper: null, doc_id and text_key of the row that stands for the group, an id before none and then the least.
+    """
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("keeper")] if keepers else []
+    kept = ["keeper"] if keepers else []
     rows = staged(classes(documents), "sets").withColumn("row", F.monotonically_increasing_id())
     own = rows.where("set_key IS NOT NULL")
     # One row stands for each class; equal sets have equal signatures and shingles.
-    counts = staged(own.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row").alias("row")), "classes")
+    counts = staged(own.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row").alias("row"), *first), "classes")
     sets = own.select("row", "set_key", "signature").join(counts.select("row"), "row", "left_semi").drop("row")
     groups = staged(connected(candidate_links(staged(sets, "signatures"), recall)), "groups")
     members = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
@@ -330,20 +335,28 @@ def join(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     exact = staged(verified(block_pairs(wanted, "root", "size", "set_key", BLOCK)), "exact")
     linked_to = exact.where("a = b").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("n"))
     roots = connected(exact.where("a <> b").select("a", "b"))
-    of = counts.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "copies", "least", F.coalesce("root", "set_key").alias("root"))
+    of = counts.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "copies", "least", *kept, F.coalesce("root", "set_key").alias("root"))
     of = staged(of.join(linked_to, "set_key", "left"), "linked")
-    ids = staged(of.groupBy("root").agg(F.min("least").alias("class_id")), "ids")
-    of = staged(of.join(ids, "root").select("set_key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classed")
-    return rows.select("doc_id", "set_key").join(of, "set_key", "left").select(
-        "doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ids = staged(of.groupBy("root").agg(F.min("least").alias("class_id"), *[F.min(c).alias(c) for c in kept]), "ids")
+    of = staged(of.drop(*kept).join(ids, "root").select("set_key", "class_id", *kept, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classed")
+    return rows.select("doc_id", "text_key", "set_key").join(of, "set_key", "left").select(
+        "doc_id", "text_key", "set_key", *kept, F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(documents: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links of every document."""
+    return matched(documents, recall).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one of each group stays: that with the least id.
+    """The documents, all columns, of which one row of each group stays: that with the least id, then the least hash of its text.
 
-    Of rows equal in id and text one stays; other rows without an id all stay.
+    A row is told by its id and text, so rows that share an id, or have none, stay or go each for itself; of rows equal in
+    both one stays. Texts without words all stay but for that.
     """
-    drop = join(documents).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_drop")).distinct()
-    df = documents.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti").withColumn("_text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))
+    drop = matched(documents, keepers=True).where(F.col("set_key").isNotNull() & ~same).select(F.col("doc_id").alias("_drop"), F.col("text_key").alias("_drop_text")).distinct()
+    df = documents.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    df = df.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop")) & (F.col("_text") == F.col("_drop_text")), "left_anti")
     once = Window.partitionBy("doc_id", "_text").orderBy("_text")
     return df.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*documents.columns)

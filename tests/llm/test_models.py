@@ -136,6 +136,16 @@ def test_keep_one_of_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == ["1", "None"]
 
 
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    words_ = [f"w{i}" for i in range(60)]
+    text, near, nearer = " ".join(words_), " ".join([*words_, "more"]), " ".join([*words_, "less"])
+    other, third = "unlike anything else in here at all", "of no id and near to no other one"
+    rows = [(1, text), (5, near), (5, other), (7, "p q r s t u v"), (7, "p q r s t u v."), (None, nearer), (None, third), (None, third + "!"), (None, "?"), (None, "!")]
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert (1, text) in got and (5, other) in got and (5, near) not in got and (None, nearer) not in got
+    assert sum(d == 7 for d, _ in got) == 1 and sum(t.startswith(third) for _, t in got) == 1 and len(got) == 6
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 

@@ -10,6 +10,9 @@ matches nothing; repeated rows are looked up each for itself; columns other than
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,47 @@ KNOWN = [
     ("ISC", "text", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("0BSD", "text", "Zero-Clause BSD Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
+# Titles that may stand before a text, or not. Texts are files of ``license_texts``, named by SPDX identifier.
+TITLES = {
+    "MIT": ["The MIT License (MIT)", "The MIT License", "MIT License (MIT)"], "ISC": ["The ISC License", "ISC License (ISC)"], "0BSD": ["BSD Zero Clause License", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License"], "Unlicense": ["The Unlicense", "Unlicense"],
+}
+# Names of licences in notices of one line.
+NAMES = {
+    "MIT": ["MIT License", "MIT"], "ISC": ["ISC License"], "0BSD": ["Zero-Clause BSD License"], "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "Modified BSD License"], "Zlib": ["zlib License"], "Unlicense": ["Unlicense"], "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "Mozilla Public License, v. 2.0"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL-2.0"], "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"], "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"], "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"],
+    "GFDL-1.3-only": ["GNU Free Documentation License, Version 1.3"], "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "Creative Commons Zero v1.0 Universal"],
+    **{f"CC-{k}-{v}": [f"CC {k} {v}", f"CC-{k}-{v}", f"Creative Commons {n} {v} {w} License"] + [f"Creative Commons {n} {v} License", f"Creative Commons {n} License {v}"] for v, w in (("4.0", "International"), ("3.0", "Unported"))
+       for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+}
+_SUBJECTS = ["", "This work is ", "This project is ", "This software is ", "This code is "]
+WORDINGS = [f"{s}{v} under {t}{{}}" for s in _SUBJECTS for v in ("licensed", "released", "distributed") for t in ("", "the ")]
+
+
+def _more() -> list[tuple[str, str, str]]:
+    texts = [(p.stem, p.read_text("utf-8")) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))]
+    # The Apache licence is also given without its appendix.
+    texts += [(i, t[: t.index("APPENDIX: How to apply")]) for i, t in texts if i == "Apache-2.0"]
+    texts += [(i, t.split(" ", n)[n]) for (i, n), t in zip((("MIT", 2), ("ISC", 2), ("0BSD", 2)), (t for _, kind, t in KNOWN if kind == "text"))]
+    out = [(i, "text", f"{head}{t}") for i, t in texts for head in ("", *[f"{x}\n\n" for x in TITLES.get(i, [])])]
+    out += [(i, "notice", w.format(name)) for i, names in NAMES.items() for name in names for w in WORDINGS]
+    return out + [(i, "notice", f"SPDX-License-Identifier: {i.removesuffix('-only')}{end}") for i in NAMES for end in ("", "-only")[: 1 + i.endswith("-only")]]
+
+
+KNOWN += _more()
 # Spellings held to be equivalent, after punctuation has become spaces.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability")]
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9][^\n]*"
+# Copyright lines: with a digit; with a sign or a placeholder; short ones that begin a paragraph; and reserved rights.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*[0-9][^\n]*|(copyright[ \t]*(\(c\)|©|[<\[{])|©)[^\n]*|all rights reserved\.?[ \t\r]*(\n|$))"
+    r"|(^|\n[ \t\r]*\n)([ \t]*((copyright|\(c\)|©)[^\n]*[0-9][^\n]*|copyright [^\n]{0,100}|all rights reserved\.?[ \t\r]*)(\n|$))+"
+)
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -49,15 +90,16 @@ def known_digests(spark: SparkSession, known=None) -> DataFrame:
 def scan_licenses(documents: DataFrame, known=None) -> DataFrame:
     """doc_id, digest, license (null unless the entire text is a known one), notices (sorted, comma-joined), n_notices.
 
-    The known digests are a fixed list of a few rows, so they are broadcast.
+    The known digests are a fixed list of some thousand rows, so they are broadcast; lines are looked up in them as a set.
     """
     spark = documents.sparkSession
     digests = F.broadcast(known_digests(spark, known))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    table = {r.known_digest: r.spdx for r in digests.collect()}  # the few known digests
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.create_map().cast("map<string,string>")
-    docs = docs.withColumn("found", F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256))), lambda x: x.isNotNull()))
+    table = {r.known_digest: r.spdx for r in digests.collect()}  # the fixed list
+    lookup = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    found = F.filter(F.transform(lines, lambda x: F.sha2(canonical(x), 256)), lambda x: x.isin(list(table)))  # a hash set; the map is searched for known lines alone
+    docs = docs.withColumn("found", F.transform(found, lambda x: F.try_element_at(lookup, x)))
     docs = docs.withColumn("digest", F.sha2(canonical(F.col("text")), 256)).drop("text")
     return docs.join(digests, F.col("digest") == F.col("known_digest"), "left").select(
         "doc_id", "digest", F.col("spdx").alias("license"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,21 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_usual_licenses_and_notices(spark):
+    texts = {p.stem: p.read_text("utf-8") for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
+    mit = licenses.KNOWN[4][2].removeprefix("MIT License ").replace(". ", ".\n\n").replace("The above ", "The above\n")
+    rows = [*texts.items(), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + texts["BSD-3-Clause"])]
+    rows += [("MIT", f"MIT License\n\n{c}\n\n{mit}") for c in ("Copyright Jane Doe", "Copyright (c) <year> <holder>", "Copyright (c) Jane Doe", "Copyright [year] [fullname]")] + [("MIT", mit)]
+    # A line of the text that begins with the word is no copyright line.
+    rows += [("MIT", "MIT License\n\n" + mit.replace("The above\ncopyright", "The above \ncopyright")), (None, texts["BSD-2-Clause"] + "more")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(rows))] == [x for x, _ in rows]
+    notices = [("GPL-3.0-only", "This software is released under the GNU General Public License v3.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"), ("MPL-2.0", "Licensed under the MPL 2.0"), ("", "Licensed under nothing.")]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, f"words\n{t}\nmore") for i, (_, t) in enumerate(notices)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.notices for r in got] == [x for x, _ in notices]
+
+
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(s))) % 10 == 0
 

@@ -10,7 +10,6 @@ matches nothing; repeated rows are looked up each for itself; columns other than
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,21 +89,21 @@ def known_digests(spark: SparkSession, known=None) -> DataFrame:
 def scan_licenses(documents: DataFrame, known=None) -> DataFrame:
     """doc_id, digest, license (null unless the entire text is a known one), notices (sorted, comma-joined), n_notices.
 
-    The known digests are a fixed list of some thousand rows, so they are broadcast; lines are looked up in them as a set.
+    The text of a document and each of its lines are entire texts, each with its digest, and all are joined to the known
+    digests by hash. These are a fixed list of some thousand rows, so they are broadcast and texts are never shuffled:
+    the lines of a row meet again in one record of its matches.
     """
-    spark = documents.sparkSession
-    digests = F.broadcast(known_digests(spark, known))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    table = {r.known_digest: r.spdx for r in digests.collect()}  # the fixed list
-    lookup = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
-    found = F.filter(F.transform(lines, lambda x: F.sha2(canonical(x), 256)), lambda x: x.isin(list(table)))  # a hash set; the map is searched for known lines alone
-    docs = docs.withColumn("found", F.transform(found, lambda x: F.try_element_at(lookup, x)))
-    docs = docs.withColumn("digest", F.sha2(canonical(F.col("text")), 256)).drop("text")
-    return docs.join(digests, F.col("digest") == F.col("known_digest"), "left").select(
-        "doc_id", "digest", F.col("spdx").alias("license"),
-        F.concat_ws(",", F.array_sort(F.array_distinct("found"))).alias("notices"), F.size("found").cast("long").alias("n_notices"),
-    )
+    digests = F.broadcast(known_digests(documents.sparkSession, known))
+    docs = documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("_row", "doc_id", "text", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("n", "line"))
+    # Number 0 stands for the whole text.
+    texts = texts.select("_row", "doc_id", (F.col("n") == 0).alias("whole"), F.sha2(canonical(F.when(F.col("n") == 0, F.col("text")).otherwise(F.col("line"))), 256).alias("digest"))
+    found = texts.join(digests, F.col("digest") == F.col("known_digest"), "left")
+    line = F.when(~F.col("whole"), F.col("spdx"))
+    out = found.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"), F.max(F.when(F.col("whole"), F.col("spdx"))).alias("license"),
+        F.collect_set(line).alias("found"), F.count(line).alias("n_notices"))
+    return out.select("doc_id", "digest", "license", F.concat_ws(",", F.array_sort("found")).alias("notices"), "n_notices")
 
 
 def _canonical_sql(text: str) -> str:

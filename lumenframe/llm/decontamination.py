@@ -5,12 +5,14 @@ document. Its suffix array is built by prefix doubling; every suffix of every be
 it, word by word, by binary search over the interval that still matches, until the interval is empty. That gives the
 longest verbatim match of every test suffix and where it lies; the intervals at ``window`` words are the hits.
 
-Benchmark items pass through the driver in blocks of at most ``BLOCK_WORDS`` words, and one block at a time is
-broadcast, so the size of what is sent does not depend on the size of the benchmark.
+Benchmark items are hashed in Spark tasks and staged; they are then sent in blocks of about ``BLOCK_WORDS`` words. One block
+at a time is read, broadcast and searched, and its matches are written before the next one's turn, so neither the driver
+nor a task holds more than one block however large the benchmark is. A benchmark of several blocks is one pass over
+the documents for each.
 
 Defined cases: null and wordless texts have no words and no hits; an item shorter than the window is one window, a
-wordless one none; items that share an id count once; repeated documents are each reported; columns other than
-doc_id, text and item_id are ignored.
+wordless one none; items that share an id count once; an item without an id hits like others, its id is the empty text; repeated
+documents, and those without an id, are each reported; columns other than doc_id, text and item_id are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbytes import Words, slices, utf8
+from .common import staged
+from .textbytes import Words, text_slices
 
 WINDOW = 10
 BLOCK_WORDS = 250_000
@@ -139,26 +142,43 @@ def shard_matches(texts: list[bytes], block: Block) -> list[tuple]:
     pairs = np.unique(doc * len(block.ids) + block.item[suffix])
     best = np.zeros(docs, np.int64)
     np.maximum.at(best, doc, longest[suffix])
+    bounds = np.searchsorted(of_run, np.arange(docs + 1))
     for d in np.unique(doc):
-        mine = of_run == d
+        mine = slice(bounds[d], bounds[d + 1])
         items = pairs[np.searchsorted(pairs, d * len(block.ids)) : np.searchsorted(pairs, (d + 1) * len(block.ids))] % len(block.ids)
         out[d] = (int(counts[d]), int(best[d]), (starts[mine] - w.first[d]).tolist(), (ends[mine] - w.first[d]).tolist(), sorted({block.ids[i] for i in items}))
     return out
 
 
+def hashed(benchmark: DataFrame) -> DataFrame:
+    """item_id, hashes (of the item's words, one after another): the items that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("item_id").to_pylist()
+            for i, j, texts in text_slices(batch.column("text")):
+                w = Words(texts)
+                made = [(k, h.tobytes()) for k, h in zip(ids[i:j], np.split(w.hashes, w.first[1:-1])) if len(h)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.binary())], ["item_id", "hashes"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.mapInArrow(run, "item_id string, hashes binary")
+
+
 def blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    ids, hashes, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        words = Words([row.text.encode()]).hashes
-        if not len(words):
-            continue
+    """Block after block, made as it is asked for; one without items if there are none."""
+    ids, hashes, size, some = [], [], 0, False
+    for row in staged(hashed(benchmark), "benchmark").toLocalIterator():
+        words = np.frombuffer(row.hashes, np.uint64)
         if size and size + len(words) > block_words:
             yield Block(ids, hashes, window)
             ids, hashes, size = [], [], 0
+        some = True
         ids.append(row.item_id)
         hashes.append(words)
         size += len(words)
-    yield Block(ids, hashes, window)
+    if ids or not some:
+        yield Block(ids, hashes, window)
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -166,42 +186,50 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def of(block: Block, docs: DataFrame, keys: list[str]) -> DataFrame:
+    def of(block: Block, docs: DataFrame, keys: list[str]) -> tuple:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = utf8(batch.column("text"))
-                rows = [x for i, j in slices(texts) for x in shard_matches(texts[i:j], sent.value)]
+                rows = [x for _, _, texts in text_slices(batch.column("text")) for x in shard_matches(texts, sent.value)]
                 made = list(zip(*rows)) if rows else [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k) for k in keys), *(pa.array(x, t) for x, t in zip(made, kinds))], [*keys, "n_words", "longest", "starts", "ends", "items"])
 
-        return docs.mapInArrow(run, ", ".join(f"{k} long" for k in keys if k != "doc_id") + ", " * (len(keys) > 1) + MATCHES)
+        return docs.mapInArrow(run, ", ".join(f"{k} long" for k in keys if k != "doc_id") + ", " * (len(keys) > 1) + MATCHES), sent
 
     source = blocks(benchmark, window, block_words)
     first = next(source)
     second = next(source, None)
     if second is None:
-        return of(first, docs, ["doc_id"])
-    # Several blocks: one pass over the documents for each, joined by row.
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = [of(b, docs, ["row", "doc_id"]) for b in (first, second, *source)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+        return of(first, docs, ["doc_id"])[0]
+    # Several blocks: one pass over the staged documents for each, and only the hits of it are written; joined by row.
+    docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
+    union, counts = None, None
+    while first is not None:
+        found, sent = of(first, docs, ["row", "doc_id"])
+        if counts is None:
+            counts = staged(found.select("row", "doc_id", "n_words", "longest", "starts", "ends", "items"), "matches")
+            part = counts
+        else:
+            part = staged(found, "matches")
+        sent.unpersist()
+        part = part.where(F.size("items") > 0).select("row", "longest", "starts", "ends", "items")
+        union = part if union is None else union.unionByName(part)
+        first, second = second, next(source, None)
     runs = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
-    merged = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = F.struct(F.array().cast("array<int>").alias("s"), F.array().cast("array<int>").alias("e"))
-
-    def join(acc, x):
-        apart = (F.size(acc["e"]) == 0) | (x["starts"] > F.element_at(acc["e"], -1))
-        longer = F.concat(F.slice(acc["e"], 1, F.size(acc["e"]) - 1), F.array(F.greatest(F.element_at(acc["e"], -1), x["ends"])))
-        return F.when(apart, F.struct(F.concat(acc["s"], F.array(x["starts"])).alias("s"), F.concat(acc["e"], F.array(x["ends"])).alias("e"))).otherwise(F.struct(acc["s"].alias("s"), longer.alias("e")))
-
-    merged = merged.withColumn("m", F.aggregate("runs", empty, join))
-    return merged.select("doc_id", "n_words", "longest", F.col("m.s").alias("starts"), F.col("m.e").alias("ends"), "items")
+    merged = union.groupBy("row").agg(F.max("longest").alias("longest"), F.array_sort(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # A run begins where no run before it reaches: the ends so far are a running maximum over the runs of a document.
+    ordered = Window.partitionBy("row").orderBy("starts", "ends")
+    each = merged.select("row", F.inline("runs")).withColumn("reach", F.max("ends").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    each = each.withColumn("n", F.sum(F.when(F.col("starts") <= F.col("reach"), 0).otherwise(1)).over(ordered))
+    each = each.groupBy("row", "n").agg(F.min("starts").alias("s"), F.max("ends").alias("e")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("m"))
+    merged = merged.drop("runs").join(each, "row")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return counts.select("row", "doc_id", "n_words").join(merged, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce(F.col("m.s"), none("int")).alias("starts"),
+        F.coalesce(F.col("m.e"), none("int")).alias("ends"), F.coalesce("items", none("string")).alias("items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -217,16 +245,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without those that a benchmark window hits."""
     spark = documents.sparkSession
-    source = blocks(benchmark, window)
-    kept = documents
-    for block in source:
-        sent = spark.sparkContext.broadcast(block)
+    kept, source = documents, blocks(benchmark, window)
+    block = next(source)
+    while block is not None:
+        sent, after = spark.sparkContext.broadcast(block), next(source, None)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = utf8(batch.column("text"))
-                clean = [not x[4] for i, j in slices(texts) for x in shard_matches(texts[i:j], sent.value)]
+                clean = [not x[4] for _, _, texts in text_slices(batch.column("text")) for x in shard_matches(texts, sent.value)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(run, documents.schema)
+        if after is not None:
+            kept = staged(kept, "clean")
+            sent.unpersist()
+        block = after
     return kept

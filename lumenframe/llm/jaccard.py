@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textbytes import PRIME, Words, mixed, slices, utf8
+from .textbytes import PRIME, Words, mixed, text_slices
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 64, 3
@@ -86,12 +86,11 @@ def classes(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
             keys: list = []
             signed: list = []
             sets: list = []
-            for i, j in slices(texts):
-                h, first = shingle_sets(texts[i:j])
+            for i, j, texts in text_slices(batch.column("text")):
+                h, first = shingle_sets(texts)
                 some = np.flatnonzero(np.diff(first))
                 key = np.full(j - i, 0, np.uint64)
                 part: list = [None] * (j - i)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textbytes import slices, utf8
+from .textbytes import text_slices
 
 LENGTH, END_ID = 2048, 0
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2_000, 2, 2, 12, 6
@@ -85,10 +85,10 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
         encoder = Encoder(path or tokenizer_path())
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
-            for i, j in slices(texts):
+            ids = batch.column("doc_id").to_pylist()
+            for i, j, texts in text_slices(batch.column("text")):
                 rows = []
-                for doc, made in zip(ids[i:j], encoder.encode(texts[i:j])):
+                for doc, made in zip(ids[i:j], encoder.encode(texts)):
                     made += end
                     for n, at in enumerate(range(0, len(made), 4 * length)):
                         part = made[at : at + 4 * length]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import attention
 from .attention import Prior, Scorer, Vocabulary, blocks_of
 from .common import fold, staged
-from .textbytes import slices, utf8
+from .textbytes import text_slices
 
 HEAD, HEAD_BYTES = 100_000, 64
 PILOT, CACHE, PAIRS = 800, 300_000, 4_000_000
@@ -60,8 +60,9 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
         seen: Counter = Counter()
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                seen.update(words(text))
+            for _, _, texts in text_slices(batch.column("text")):
+                for text in texts:
+                    seen.update(words(text))
             seen[b""] += batch.num_rows
             if len(seen) > CACHE:
                 yield rows(seen)
@@ -101,9 +102,8 @@ def joints(documents: DataFrame, path: str | None) -> DataFrame:
         ends = np.zeros((0, 2), np.int64)
         held: list[np.ndarray] = []
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for i, j in slices(texts):
-                split = [words(t) for t in texts[i:j]]
+            for i, j, texts in text_slices(batch.column("text")):
+                split = [words(t) for t in texts]
                 new = list(set().union(*split) - number.keys())
                 if len(number) + len(new) > CACHE and number:
                     number, ends, new = {}, ends[:0], list(set().union(*split))
@@ -166,9 +166,8 @@ def fit(training: DataFrame, counts: DataFrame, path: str | None = None) -> Mode
         m = sent.value
         lookup, p, seen = Lookup(m, {}), m.parameters, 0
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for i, j in slices(texts):
-                split = [words(t) for t in texts[i:j]]
+            for i, j, texts in text_slices(batch.column("text")):
+                split = [words(t) for t in texts]
                 flat, lengths = lookup.flat(lookup.numbers(split))
                 of = np.repeat(np.arange(j - i), [len(x) for x in split])
                 made = np.split(flat, np.cumsum(np.bincount(of, weights=lengths, minlength=j - i).astype(np.int64))[:-1])
@@ -238,9 +237,9 @@ def scored(documents: DataFrame, model: Model, head: dict[bytes, float]) -> Data
         scorer, lookup, v = Scorer(m.parameters, m.prior), Lookup(m, heads.value), m.vocabulary
         end_log = heads.value.get(b"", math.log10(0.5))
         for batch in batches:
-            texts, rows, ids = utf8(batch.column("text")), batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, j in slices(texts, 1 << 19):
-                split = [words(t) for t in texts[i:j]]
+            rows, ids = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
+            for i, j, texts in text_slices(batch.column("text"), 1 << 19):
+                split = [words(t) for t in texts]
                 counts = np.array([len(x) for x in split], np.int64)
                 numbers = lookup.numbers(split)
                 doc = np.repeat(np.arange(j - i), counts)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20  # of text worked on at once, but for single longer documents
 
@@ -20,20 +21,17 @@ IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The texts' bytes; null counts as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-
-
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > limit:
-            yield first, i
-            first, size = i, 0
-        size += len(x) + 1
-    if first < len(texts):
-        yield first, len(texts)
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows with about ``limit`` bytes of text and their texts' bytes; only one range's texts are held at once."""
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        start = int(ends[first] - sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, start + limit, side="right")))
+        yield first, last, [b"" if x is None else x for x in column.slice(first, last - first).to_pylist()]
+        first = last
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -8,8 +8,11 @@ a long text are not averaged away. Unseen misspellings share n-grams with the wo
 Training reads at most ``PER_CLASS`` labelled documents of each class, those of the least id hashes: the bound on
 what passes through the driver. Scoring covers every whole text.
 
+The layer's bias is then moved by the log of the true odds over the sample's, so 0.5 means the same at every size of the table.
+
 Defined cases: null, empty and wordless texts get the score of no evidence (the layer's prior); null labels are not
-learned from; repeated rows are each scored; with one class only, or none, in the training rows, all scores are that
+learned from, others than 0 count as toxic; of rows that share an id one text is learned from, that of the least hash; repeated rows
+are each scored; with one class only, or none, in the training rows, all scores are that
 class's share (0.0 without rows); columns other than doc_id and text are ignored.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .textbytes import IS_WORD, LOWER, slices, utf8
+from .textbytes import IS_WORD, LOWER, text_slices
 
 PER_CLASS = 2_000
 BUCKETS, DIMENSIONS, ORDERS = 1 << 19, 8, (3, 4, 5)
@@ -161,15 +164,20 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> Model:
 
 def fit(documents: DataFrame, labels: DataFrame, training=None, per_class: int = PER_CLASS) -> Model:
     """Trains on the labelled rows for which ``training`` (a function of the id column) holds."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if training is not None:
         ids = ids.where(training(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     least = lambda kind: ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = least(0).unionByName(least(1))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()  # at most 2 * per_class documents
-    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.float32))
+    model = train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.float32))
+    drawn, seen = sum(r.toxic for r in rows), ids.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    if 0 < drawn < len(rows) and 0 < seen.toxic < seen.n:  # the sample has its own share of toxic rows; all training labels have theirs
+        model.bias += np.log(seen.toxic / (seen.n - seen.toxic)) - np.log(drawn / (len(rows) - drawn))
+    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -178,8 +186,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            scores = [sent.value.scores(texts[i:j]) for i, j in slices(texts)]
+            scores = [sent.value.scores(texts) for _, _, texts in text_slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "toxicity"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -192,8 +199,7 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            clean = [x < threshold for i, j in slices(texts) for x in sent.value.scores(texts[i:j])]
+            clean = [x < threshold for _, _, texts in text_slices(batch.column("text")) for x in sent.value.scores(texts)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

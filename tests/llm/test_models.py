@@ -53,6 +53,51 @@ def test_language(spark, odd):
     assert language.identify(odd, language.train([])).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_texts_without_letters_and_of_unseen_scripts():
+    model = language.train([("fr", "bonjour le monde"), ("de", "guten tag")])
+    assert [language.predict([t], model)[0] for t in ("½ ²", "①", "12", "", None)] == [("und", 0.0)] * 5
+    assert language.predict(["日本"], model) == [("de", 0.5)] and language.words("x½Y_z") == ["x", "y", "z"]
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 7))) for _ in range(30)), k) for i in range(60) for k, a in [(["en", "xx"][i % 2], ["abcde", "cdefg"][i % 2])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        counts[lang].update(t.split())
+    kinds = [{g: collections.Counter({w: c for w, c in x.items() if c >= 2}) for g, x in counts.items()}]
+    for n in language.ORDERS:
+        grams = {}
+        for g, x in kinds[0].items():
+            grams[g] = collections.Counter()
+            for w, c in x.items():
+                m = f"<{w}>" if n > 1 else w
+                for i in range(len(m) - n + 1):
+                    grams[g][m[i : i + n]] += c
+        kinds.append(grams)
+
+    def log(kind, key, g):
+        return math.log((kind[g][key] + 0.5) / (sum(kind[g].values()) + 0.5 * len(set().union(*kind.values()))))
+
+    def score(word, g):
+        if any(word in x for x in kinds[0].values()):
+            return log(kinds[0], word, g)
+        for n, kind in zip(language.ORDERS, kinds[1:]):
+            m = f"<{word}>" if n > 1 else word
+            known = [m[i : i + n] for i in range(len(m) - n + 1) if any(m[i : i + n] in x for x in kind.values())]
+            if known:
+                return sum(log(kind, k, g) for k in known) / len(known)
+        return 0.0
+
+    texts = ["abc ccde zz", "gfgf cdc", "ddd", "long " * 30_000]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.fit(docs, sample=10**6)).collect()}
+    for i, t in enumerate(texts):
+        total = {g: sum(score(w, g) for w in t.split()) for g in ("en", "xx")}
+        assert got[i].lang_pred == max(total, key=total.get)
+        assert got[i].score == pytest.approx(1 / sum(math.exp(max(v - max(total.values()), -700)) for v in total.values()), rel=1e-3)
+
+
 def test_backoff_takes_the_longest_known_grams():
     model = language.train([("a", "abcdef abcdef"), ("b", "uvwxyz")])
     assert (model.vector("abcdef") == model.logs[model.tables[0]["abcdef"]]).all()
@@ -81,6 +126,13 @@ def test_decontamination(spark):
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontamination.contamination(d, b).collect()}
     assert got == want
+    unnamed = spark.createDataFrame([(None, vocabulary[0] + " zz yy"), (None, None)], "item_id long, text string")
+    found = decontamination.contamination(spark.createDataFrame([(1, "x A zz yy"), (1, "x A zz yy"), (None, None)], "doc_id long, text string"), unnamed).collect()
+    assert sorted((str(r.doc_id), r.n_hit, r.n_items) for r in found) == [("1", 3, 1), ("1", 3, 1), ("None", 0, 0)]
+    clashing = d.select("doc_id", "text", F.lit(1).alias("row"), F.lit("i").alias("items"), F.lit("i").alias("item_id"))
+    assert decontamination.contamination(clashing, b.withColumn("doc_id", F.lit(1))).count() == len(docs) and decontamination.decontaminate(clashing, b).columns == clashing.columns
+    long = spark.createDataFrame([(1, "p q " * 40_000 + " ".join(f"v{i}" for i in range(12)))], "doc_id long, text string")
+    assert decontamination.contamination(long, spark.createDataFrame([(7, " ".join(f"v{i}" for i in range(12)))], "item_id long, text string")).first().n_hit == 12
     several = decontamination.find_matches(d, b, block_words=20).collect()  # one item or two in a block
     assert {r.doc_id: (r.n_words, sum(e - s for s, e in zip(r.starts, r.ends)), len(r["items"])) for r in several} == {k: v[:3] for k, v in want.items()}
     assert {r.doc_id for r in decontamination.decontaminate(d, b).collect()} == {k for k, v in want.items() if not v[1]}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -43,11 +44,45 @@ def test_fingerprints_without_ids_and_with_repeats(spark):
     assert fingerprints.fingerprints(df).count() == 4
 
 
+def brute_likeness(x, y):
+    if x == y:
+        return 1.0
+    a, b = ([p[i : i + 4] for p in f.split(":")[2].split("/") for i in range(0, len(p), 4)] for f in (x, y))
+    if not a and not b:
+        return 0.0
+    return max(2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b))), 2 * sum(p == q for p, q in zip(a, b)) / (len(a) + len(b)))
+
+
+def test_likeness_is_of_the_fingerprints_returned(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["long line " * 20_000, "x" * 7]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    order = sorted(got, reverse=True)
+    for a, b in zip(order, order[1:] + order[:1]):
+        assert got[a].near_edited == pytest.approx(brute_likeness(got[a].fingerprint, got[a].edited_fingerprint))
+        assert got[a].near_next == pytest.approx(brute_likeness(got[a].fingerprint, got[b].fingerprint))
+        root, sections, leaves = got[a].fingerprint.split(":")
+        paragraphs = texts[a].split("\n")
+        assert len(root) == 64 and len(sections.split(".")) == -(-len(paragraphs) // 8) and [len(p) for p in leaves.split("/")] == [4 * -(-len(p) // 8) for p in paragraphs]
+
+
+def test_next_of_hot_and_missing_ids(spark):
+    rows = [(None, f"n{i}") for i in range(300)] + [(5, f"t{i}") for i in range(400)] + [(i, f"x{i}") for i in range(100)]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    follows = {r.text: r.next_text for r in got}
+    assert len(got) == 800 and sorted(follows.values()) == sorted(t for _, t in rows)  # one ring
+    ids, at, seen = dict((t, i) for i, t in rows), "x99", []
+    for _ in rows:
+        seen.append(ids[at])
+        at = follows[at]
+    assert seen == sorted([i for i, _ in rows if i is not None], reverse=True) + [None] * 300 and at == "x99"
+
+
 def test_edits_are_located(spark):
     lines = [f"line {i}" for i in range(40)]
     df = spark.createDataFrame([("\n".join(lines), "\n".join(lines[:20] + ["changed"] + lines[21:]))], "a string, b string")
     df = fingerprints.add_tree(fingerprints.add_tree(df, "a", "a_"), "b", "b_")
-    assert df.select(fingerprints.differing_sections("a_", "b_")).first()[0] == [2]
+    assert df.select(fingerprints.differing_sections(F.col("a_fingerprint"), F.col("b_fingerprint"))).first()[0] == [2]
 
 
 def test_licenses(spark):
@@ -108,10 +143,32 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.find_personal_data(df.where("false")).count() == 0
 
 
+def test_many_candidates_in_one_text(spark):
+    text = " ".join(f"word user{i}@mail.org then x{i}" for i in range(10_000))
+    start = time.time()
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame([(1, text), (2, "a " * 200_000 + "7" + " " * 100_000 + "b"), (3, None)], "doc_id long, text string")).collect()}
+    assert got[1].n_email == 10_000 and got[1].base_sha256 == hashlib.sha256(base(text).encode()).hexdigest() and got[2].spans == got[3].spans == ""
+    assert time.time() - start < 120
+
+
+def test_candidates_are_each_others_context(spark):
+    rows = [(i, f"badge KX-{i}1 KX-{i}2 KX-{i}3 end") for i in range(8)] + [(i, f"badge u{i}@mail.org v{i}@mail.org w{i}@mail.org end") for i in range(10, 18)]
+    rows = rows[:1] + rows[8:]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, base string")).collect()}
+    assert got[0].spans == "id:6:11,id:18:23"  # the middle one has candidates on both sides, of which nothing is learned
+
+
+def test_long_context_words(spark):
+    word = "w" * 500
+    rows = [(i, f"{word}   {' ' * 200} u{i}@mail.org end{i}") for i in range(8)] + [(9, f"{word} KX-1 z")]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9].n_id == 1
+
+
 def brute_lines(rows, least):
     docs = sorted({(i, t) for i, t in rows})
-    seqs = [[x for x in t.split("\n") if x.strip(" ")] for _, t in docs]
-    count = lambda x: len([w for w in x.strip(" ").split(" ") if w])
+    seqs = [[x for x in t.split("\n") if x.strip()] for _, t in docs]
+    count = lambda x: len(x.split())
     out = {}
     for d, seq in enumerate(seqs):
         gone = set()
@@ -121,8 +178,8 @@ def brute_lines(rows, least):
                     gone |= set(range(a, b))
         left, n = [], -1
         for x in docs[d][1].split("\n"):
-            n += bool(x.strip(" "))
-            if not (x.strip(" ") and n in gone):
+            n += bool(x.strip())
+            if not (x.strip() and n in gone):
                 left.append(x)
         if not gone or "\n".join(left).strip():
             out[docs[d][0]] = "\n".join(left)
@@ -131,7 +188,7 @@ def brute_lines(rows, least):
 
 def test_line_dedup(spark):
     rng = random.Random(5)
-    lines = ["a b", "c", "d e f", "g h i j", "", "  k "]
+    lines = ["a b", "c", "d\te\tf", "g h i j", "", "  k ", "\t"]
     rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.choice([1, 2, 5, 9])))) for k in range(40)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows + [rows[4]] * 3], "doc_id long, text string, places string, n_chars long")
     out = linededup.dedup_lines(df, 5)
@@ -139,6 +196,32 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows, 5)
 
 
+def test_maximal_runs(spark):
+    rng = random.Random(8)
+    rows = [(k, "\n".join(rng.choice("abc") for _ in range(rng.choice([1, 3, 8, 20])))) for k in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    number = {r._key: r.doc_id for r in linededup.keyed(df).collect()}
+    seqs = [t.split("\n") for _, t in rows]
+    match = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    least = 32  # every run of up to 32 lines in full
+    got = {(number[r._key], r.pos): (r.lines, r.words) for r in linededup.repeated_runs(df, 1).collect()}
+    assert got and all(x == (min(y := max([match(seqs[d][p:], seqs[e][q:]) for e in range(d + 1) for q in range(len(seqs[e])) if (e, q) < (d, p)], default=0), x[0] or y), x[1]) for (d, p), x in got.items())
+    df = df.withColumn("text", F.concat(F.lit(f"{'w ' * least}\n"), "text", F.lit(f"\n{'w ' * least}")))
+    number = {r._key: r.doc_id for r in linededup.keyed(df).collect()}
+    seqs = [[f"{'w ' * least}", *s, f"{'w ' * least}"] for s in seqs]
+    got = {(number[r._key], r.pos): r.lines for r in linededup.repeated_runs(df, least).collect()}
+    for d, s in enumerate(seqs):
+        for p in range(len(s)):
+            want = max([match(s[p:], seqs[e][q:]) for e in range(d + 1) for q in range(len(seqs[e])) if (e, q) < (d, p)], default=0)
+            assert got.get((d, p), 0) == want
+
+
+def test_line_dedup_of_one_hot_line_and_a_long_text(spark):
+    rows = [(i, "\n".join(["same"] * 3 + [f"own {i}"])) for i in range(300)] + [(1000, "\n".join(f"line {i}" for i in range(20_000))), (1001, "\n".join(f"line {i}" for i in range(20_000)))]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    assert got[0] == rows[0][1] and got[7] == "own 7" and 1001 not in got and got[1000] == rows[300][1]
+
+
 def test_line_dedup_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (2, None), (3, "")], "doc_id long, text string")
     assert {(r.doc_id, r.text) for r in linededup.dedup_lines(df, 2).collect()} == {(None, "a b c"), (2, None), (3, "")}

@@ -5,7 +5,11 @@ sequence stand alone. The others are dealt at random into pools of about ``POOL`
 that each evolve a population of packings: crossover injects whole well-filled bins of one parent into the other, bins
 that hold an injected piece are dissolved, and the displaced pieces are put back by best fit. After every epoch the
 islands' best packings migrate to the next island. An island is one Spark task's group, of bounded size, so pools
-and islands spread over the cluster, and a pool that reaches its lower bound stops early.
+and islands spread over the cluster, and a pool that reaches its lower bound stops early. A population begins with one packing by best
+fit and others that put a random part of the pieces first.
+
+Pools are mixed: bins filled but for ``SLACK`` tokens stay as they are, and the pieces of all others are dealt anew into fewer pools,
+deal after deal, so that what pools waste at their ends does not add up.
 
 Defined cases: null text is empty; an empty text is one piece of one token (the end id); rows that share an id are packed
 each for itself; columns other than doc_id and text are ignored.
@@ -28,6 +32,8 @@ from .textbytes import text_slices
 
 LENGTH, END_ID = 2048, 0
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2_000, 2, 2, 12, 6
+#: Tokens a bin may lack to stay as it is; the share of pieces left over beyond which another deal is the last.
+SLACK, SHRINK = 2, 0.9
 CACHE = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
@@ -193,33 +199,50 @@ def _island(length: int, generations: int, most: int):
         for c, packing in enumerate(best):
             for k, members in enumerate(packing):
                 bins[members, c] = k
-        score = [float(len(best[0]))] * len(sizes)
-        return pa.table({"pool": group.column("pool"), "island": group.column("island"), "row": group.column("row"), "length": group.column("length"),
-                         "bins": pa.array(bins.tolist(), pa.list_(pa.int64())), "used": pa.array(score)})
+        fill = np.array([sum(sizes[i] for i in x) for x in best[0]], np.int64)[bins[:, 0]]
+        done = len(best[0]) <= -(-sum(sizes) // length)
+        return pa.table({"pool": group.column("pool"), "island": group.column("island"), "row": group.column("row"), "length": group.column("length"), "bins": pa.array(bins.tolist(), pa.list_(pa.int64())),
+                         "fill": pa.array(fill), "used": pa.array(np.full(len(sizes), len(best[0]))), "done": pa.array(np.full(len(sizes), done))})
 
     return run
 
 
+def evolved(loose: DataFrame, pools: int, deal: int, length: int, islands: int, epochs: int, generations: int, most: int) -> DataFrame:
+    """row, length, pool, bin, fill (of the bin): the best packing of each pool; ``deal`` numbers the way pieces are dealt into pools."""
+    pool = F.pmod(F.xxhash64("row", F.lit(5 + deal)), F.lit(pools)).alias("pool")
+    state = loose.select(pool, F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "row", "length", F.array().cast("array<bigint>").alias("bins"))
+    schema = "pool long, island int, row long, length long, bins array<bigint>, fill long, used long, done boolean"
+    out = None
+    for epoch in range(epochs):
+        state = staged(state.groupBy("pool", "island", F.lit(epoch).alias("epoch")).applyInArrow(_island(length, generations, most), schema), f"epoch{epoch}")
+        first = state.groupBy("pool").agg(F.min(F.struct("used", "island")).alias("best"), F.max("done").alias("ends"))
+        state = state.drop("done").join(first.select("pool", F.col("best.island").alias("winner"), (F.col("ends") | F.lit(epoch + 1 == epochs)).alias("ends")), "pool")
+        # A pool at its lower bound is settled; in the others the best packing of each island goes on to the next, beside its own.
+        settled = state.where("ends AND island = winner").select("row", "length", "pool", F.element_at("bins", 1).alias("bin"), "fill")
+        out = settled if out is None else out.unionByName(settled)
+        state = state.where("NOT ends")
+        moved = state.select("pool", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "row", F.element_at("bins", 1).alias("guest"))
+        state = state.join(moved, ["pool", "island", "row"]).select("pool", "island", "row", "length", F.concat("bins", F.array("guest")).alias("bins"))
+    return staged(out, "packed")
+
+
 def pack(parts: DataFrame, length: int = LENGTH, pool: int = POOL, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, most: int = POPULATION) -> DataFrame:
     """parts (any columns with ``length``) with sequence_id and offset."""
     parts = staged(parts, "pieces").withColumn("row", F.monotonically_increasing_id())
-    loose = parts.where(F.col("length") < length)
-    pools = max(1, -(-loose.count() // pool))
-    state = loose.select(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(pools)).alias("pool"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "row", "length", F.array().cast("array<bigint>").alias("bins"))
-    schema = "pool long, island int, row long, length long, bins array<bigint>, used double"
-    for epoch in range(epochs):
-        state = state.groupBy("pool", "island", F.lit(epoch).alias("epoch")).applyInArrow(_island(length, generations, most), schema)
-        state = staged(state, f"epoch{epoch}")
-        if epoch + 1 < epochs:
-            # Elite migration: the best packing of each island goes on to the next, beside the island's own.
-            moved = state.select("pool", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "row", F.element_at("bins", 1).alias("guest"))
-            state = state.join(moved, ["pool", "island", "row"]).select("pool", "island", "row", "length", F.concat("bins", F.array("guest")).alias("bins"))
-    winner = state.groupBy("pool").agg(F.min_by("island", F.struct("used", "island")).alias("island"))
-    placed = state.join(F.broadcast(winner) if pools <= 10_000 else winner, ["pool", "island"]).select("row", "pool", F.element_at("bins", 1).alias("bin"))
-    # Sequence ids: pools have 2^24 numbers each, single full pieces follow them.
-    alone = parts.where(F.col("length") >= length).select(F.col("row").alias("r"), (F.lit(1 << 62) + F.col("row")).alias("sequence_id"))
-    ids = placed.select(F.col("row").alias("r"), (F.col("pool") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")).unionByName(alone)
-    out = parts.join(ids, F.col("row") == F.col("r")).drop("r")
+    loose, left = parts.where(F.col("length") < length).select("row", "length"), None
+    # Sequence ids: full pieces first, then 2^24 for each pool of a deal.
+    ids = parts.where(F.col("length") >= length).select("row", (F.lit(1 << 62) + F.col("row")).alias("sequence_id"))
+    for deal in range(32):
+        count = loose.count()
+        pools, last = max(1, -(-count // pool)), left is not None and count > SHRINK * left
+        packed = evolved(loose, pools, deal, length, islands, epochs, generations, most)
+        # Well-filled bins stay; what is in the others is dealt anew, into fewer pools, until one is left or little was gained.
+        keep = F.lit(True) if pools == 1 or last else F.col("fill") >= length - SLACK
+        ids = ids.unionByName(packed.where(keep).select("row", (F.lit(deal << 56) + F.col("pool") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")))
+        if pools == 1 or last:
+            break
+        loose, left = packed.where(~keep).select("row", "length"), count
+    out = parts.join(ids.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).drop("r")
     order = Window.partitionBy("sequence_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).drop("row")
 

@@ -8,7 +8,7 @@ threshold so share a child with probability 0.63 or more. Nodes with at most ``L
 again, up to ``DEPTH`` times. ``repetitions`` independent runs reach the target recall.
 
 Leaves are compared by signature; what is close enough is linked into candidate groups, whose members' shingle sets are then
-compared exactly, block against block, so that no task holds more than ``2 * BLOCK`` sets and no list of all pairs is ever made.
+compared exactly, block against block, so that no task holds more than two blocks of about ``BLOCK_BYTES`` of sets and no list of all pairs is ever made.
 Groups are components of links, found by alternating star contraction in Spark.
 
 Defined cases: null, empty and wordless texts have no shingles, are in classes of their own and have no links; fewer words than
@@ -31,7 +31,7 @@ from .textbytes import PRIME, Words, mixed, text_slices
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 64, 3
-SIGNED_BLOCK, BLOCK = 1024, 128
+SIGNED_BLOCK, BLOCK_BYTES = 1024, 2 << 20
 SLACK = 0.2  # how far below the threshold a signature's estimate may lie (4 standard errors)
 
 
@@ -199,12 +199,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) ->
         yield held
 
 
-def block_pairs(members: DataFrame, group: str, size: str, row: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, group: str, blocks, row: str) -> DataFrame:
     """``task``: each member once for every pair of blocks it is in, ``side`` 0 or 1; a group of one block is one task.
 
-    Blocks come from a hash of the row, so they stay near ``block`` members however large a group is.
+    blocks: how many a group has. A block is dealt by a hash of the row, so blocks stay even however large a group is.
     """
-    n = F.greatest(F.ceil(F.col(size) / block).cast("int"), F.lit(1))
+    n = F.greatest(F.ceil(blocks).cast("int"), F.lit(1))
     own = F.pmod(F.xxhash64(row, F.lit(3)), n).cast("int")
     df = members.withColumn("_n", n).withColumn("_own", own)
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -225,7 +225,7 @@ def candidate_links(sets: DataFrame, recall: float = RECALL) -> DataFrame:
         sizes = staged(sizes, f"sizes{level}")
         last = level == DEPTH - 1
         leaf = nodes.join(sizes if last else sizes.where(F.col("size") <= LEAF), "node").join(signed, "set_key")
-        made = linked(block_pairs(leaf, "node", "size", "set_key", SIGNED_BLOCK))
+        made = linked(block_pairs(leaf, "node", F.col("size") / SIGNED_BLOCK, "set_key"))
         found = made if found is None else found.unionByName(made)
         if not last:
             live = nodes.join(sizes.where(F.col("size") > LEAF), "node").join(signed, "set_key").select("set_key", "node", "signature")
@@ -324,14 +324,15 @@ def matched(documents: DataFrame, recall: float = RECALL, keepers: bool = False)
     rows = staged(classes(documents), "sets").withColumn("row", F.monotonically_increasing_id())
     own = rows.where("set_key IS NOT NULL")
     # One row stands for each class; equal sets have equal signatures and shingles.
-    counts = staged(own.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row").alias("row"), *first), "classes")
+    counts = staged(own.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row").alias("row"), F.max(F.octet_length("shingles")).alias("bytes"), *first), "classes")
     sets = own.select("row", "set_key", "signature").join(counts.select("row"), "row", "left_semi").drop("row")
     groups = staged(connected(candidate_links(staged(sets, "signatures"), recall)), "groups")
     members = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = staged(members.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    members = staged(members.join(sizes, "root"), "members").join(counts, F.col("node") == F.col("set_key")).select("root", "size", "row", "set_key", "copies")
+    members = staged(members.join(counts, F.col("node") == F.col("set_key")).select("root", "row", "set_key", "copies", "bytes"), "members")
+    sizes = staged(members.groupBy("root").agg(F.sum("bytes").alias("size")), "sizes")
+    members = members.drop("bytes").join(sizes, "root")
     wanted = own.select("row", "shingles").join(members, "row")
-    exact = staged(verified(block_pairs(wanted, "root", "size", "set_key", BLOCK)), "exact")
+    exact = staged(verified(block_pairs(wanted, "root", F.col("size") / BLOCK_BYTES, "set_key")), "exact")
     linked_to = exact.where("a = b").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("n"))
     roots = connected(exact.where("a <> b").select("a", "b"))
     of = counts.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "copies", "least", *kept, F.coalesce("root", "set_key").alias("root"))

@@ -183,6 +183,23 @@ def test_join(spark):
     assert jaccard.join(docs.where("false")).count() == 0
 
 
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4_000)  # some ten sets
+    rng = random.Random(9)
+    base_ = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base_[: (k := rng.randrange(100))], f"x{i % 50}", *base_[k + 1 :]])) for i in range(90)] + [(None, " ".join(base_)), (200, "w " * 60_000)]
+    want = brute_join([(d if d is not None else -1, t) for d, t in rows])
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, size int")).collect()}
+    assert got == {d if d >= 0 else None: n for d, (_, n) in want.items()}
+
+
+def test_recall_of_the_whole_small_table(spark):
+    """Against all pairs of the smallest table: no link is lost."""
+    docs = table(spark, SF, "documents")
+    want = brute_join([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs).collect()} == want
+
+
 def test_keep_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g")] * 3 + [(None, "x y"), (2, "a b c d e f g")]
     assert sorted(str(r.doc_id) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == ["1", "None"]
@@ -220,10 +237,24 @@ def test_packing(spark, odd):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(used) <= 1.03 * math.ceil(sum(r.length for r in rows) / 2048) + 1
+    alone = sum(r.length == 2048 for r in rows)
+    assert len(used) <= alone + math.ceil(sum(r.length for r in rows if r.length < 2048) / 2048) + 1
     assert packing.query(odd).count() == 5 and packing.query(odd.where("false")).count() == 0
 
 
+def test_pools_are_mixed_until_waste_is_one_sequence(spark):
+    rng = random.Random(12)
+    parts = spark.createDataFrame([(i, rng.choice([2048, *range(20, 1500)])) for i in range(3000)], "doc_id long, length long")
+    rows = packing.pack(parts, pool=1000).collect()
+    used = collections.defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    assert all(sum(n for _, n in x) <= 2048 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in used.values())
+    alone = sum(r.length == 2048 for r in rows)
+    assert len(used) <= alone + math.ceil(sum(r.length for r in rows if r.length < 2048) / 2048) + 2
+
+
 def test_encoder_equals_whole_texts():
     from tokenizers import Tokenizer
 

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["flagship", "scan", "filter", "top_k", "limit_offset", "join_inner", "join_multi", "group_by", "total", "group_concat", "cte", "cte_multi", "correlated_scalar", "in_subquery", "not_in_subquery", "compound_chain", "recursive_cte", "like", "strftime", "upsert_update", "update", "delete", "udf_scalar"]
+HEADLINE = ["flagship", "scan", "filter", "top_k", "limit_offset", "join_inner", "join_multi", "group_by", "total", "group_concat", "cte", "cte_multi", "correlated_scalar", "in_subquery", "not_in_subquery", "compound_chain", "recursive_cte", "like", "strftime", "upsert_update", "update", "delete", "udf_scalar", "point_lookup", "page_of_two_joins", "full_read"]
 
 
 def main() -> None:

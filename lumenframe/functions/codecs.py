@@ -42,7 +42,6 @@ STANDARD = (
     Codec("date-julian", 1, "timestamp", lambda c: F.unix_micros(c) / 86_400_000_000.0 + EPOCH, lambda c: F.timestamp_micros(F.round((c - EPOCH) * 86_400_000_000.0).cast("bigint"))),
     Codec("uuid-text", 1, "string", lambda c: F.lower(c), lambda c: F.lower(c)),
     Codec("uuid-blob", 1, "string", lambda c: F.unhex(F.replace(c, F.lit("-"), F.lit(""))), lambda c: F.regexp_replace(F.lower(F.hex(c)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")),
-    Codec("enum-raw", 1, "string", lambda c: c, lambda c: c),
 )
 
 
@@ -97,3 +96,9 @@ def checked_enum(x: Column, values, name: str = "enum") -> Column:
     """The raw value; reading an unknown one fails, null stays null."""
     bad = F.raise_error(F.concat(F.lit(f"invalid value for {name}: "), x.cast("string"))).cast("string")
     return F.when(x.isNull() | x.isin(list(values)), x).otherwise(bad)
+
+
+def enum_codec(values, name: str = "enum") -> Codec:
+    """Raw values of an enumeration; an unknown one fails either way."""
+    check = lambda c: checked_enum(c, values, name)
+    return Codec(f"enum-raw:{name}", 1, "string", check, check)

@@ -122,7 +122,9 @@ def strftime(template: str, x: Column, *modifiers: str) -> Column:
             parts.append(F.lit("%"))
         else:
             return F.lit(None).cast("string")
-    return F.when(ts.isNotNull(), F.concat(*parts) if parts else F.lit(""))
+    # A part of a missing moment is null, and so is the whole; a condition around them would parse the text once for each part.
+    dated = "%" in template.replace("%%", "")
+    return F.concat(*parts) if dated else F.when(ts.isNotNull(), F.concat(*parts) if parts else F.lit(""))
 
 
 def _week(ts: Column) -> Column:

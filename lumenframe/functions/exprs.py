@@ -271,6 +271,6 @@ def avg(x: Column, distinct: bool = False) -> Column:
 
 
 def group_concat(x: Column, separator: str = ",", distinct: bool = False) -> Column:
-    """Values joined in ascending order, so that the result does not depend on how rows are dealt out."""
+    """Values joined in ascending order, so that the result does not depend on how rows are dealt out; null without values."""
     values = (F.collect_set if distinct else F.collect_list)(x.cast("string"))
     return F.when(F.count(x) > 0, F.array_join(F.array_sort(values), separator))

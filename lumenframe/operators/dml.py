@@ -1,8 +1,8 @@
 """Data-changing statements as transforms of table images.
 
 Each returns ``Change(table, affected)``: the new image of the table, and the rows a RETURNING clause yields. Conflicts are
-judged on one declared key, and joins on it are shuffled once. A batch may hold a key once only, but for
-insert-or-replace, where the last row by ``order`` counts.
+judged on one declared key, and joins on it are shuffled once. A batch that holds a key twice fails when it is read, but for
+insert-or-ignore, where the first row by ``order`` (then by all columns) counts, and insert-or-replace, where the last does.
 """
 
 from __future__ import annotations
@@ -38,6 +38,13 @@ def _same(keys: list[str], left: str, right: str) -> Column:
     return out
 
 
+def unique(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows, which raise when they are read if a key occurs twice; shuffled by the key, as the join after it needs them."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    said = F.raise_error(F.concat(F.lit("key occurs more than once: "), F.to_json(F.struct(*key)))).cast("boolean")
+    return rows.withColumn("_n", n).where(F.when(F.col("_n") > 1, said).otherwise(True)).drop("_n")
+
+
 def insert(table: DataFrame, rows: DataFrame) -> Change:
     """INSERT VALUES and INSERT SELECT."""
     rows = _aligned(table, rows)
@@ -48,12 +55,12 @@ def insert_or(table: DataFrame, rows: DataFrame, action: str, key: list[str], or
     """action: ignore, replace, abort, fail or rollback. The last three check the keys and raise before anything changes."""
     rows = _aligned(table, rows)
     if action == "ignore":
-        first = Window.partitionBy(*key).orderBy(order if order is not None else F.lit(0))
+        first = Window.partitionBy(*key).orderBy(*([order] if order is not None else []), *table.columns)
         rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
         new = rows.join(table.select(*key), key, "left_anti").select(*table.columns)
         return Change(table.unionByName(new), new)
     if action == "replace":
-        last = Window.partitionBy(*key).orderBy((order if order is not None else F.lit(0)).desc())
+        last = Window.partitionBy(*key).orderBy(*([order.desc()] if order is not None else []), *[F.desc(c) for c in table.columns])
         rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
         kept = table.join(rows.select(*key), key, "left_anti").select(*table.columns)
         return Change(kept.unionByName(rows), rows)
@@ -76,7 +83,7 @@ def upsert_nothing(table: DataFrame, rows: DataFrame, key: list[str]) -> Change:
 
 def upsert_update(table: DataFrame, rows: DataFrame, key: list[str], assign: dict[str, Column], where: Column | None = None) -> Change:
     """ON CONFLICT (key) DO UPDATE SET … [WHERE …]; expressions see the old row as ``t`` and the proposed one as ``excluded``."""
-    rows = _aligned(table, rows)
+    rows = unique(_aligned(table, rows), key)
     t, x = table.withColumn("_old", F.lit(True)).alias("t"), rows.withColumn("_new", F.lit(True)).alias("excluded")
     joined = t.join(x, _same(key, "t", "excluded"), "full")
     both = F.col("t._old").isNotNull() & F.col("excluded._new").isNotNull()
@@ -99,7 +106,7 @@ def update(table: DataFrame, assign: dict[str, Column], where: Column | None = N
 
 def update_from(table: DataFrame, source: DataFrame, key: list[str], assign: dict[str, Column], where: Column | None = None) -> Change:
     """UPDATE … FROM source, matched on key columns (unique in the source); the old row is ``t``, the source ``s``."""
-    t, s = table.alias("t"), source.withColumn("_hit", F.lit(True)).alias("s")
+    t, s = table.alias("t"), unique(source, key).withColumn("_hit", F.lit(True)).alias("s")
     joined = t.join(s, _same(key, "t", "s"), "left")
     hit = F.col("s._hit").isNotNull()
     if where is not None:

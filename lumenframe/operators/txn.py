@@ -1,115 +1,59 @@
-"""Transactions over a folder of Parquet tables.
+"""Transactions: statements in order over images of tables, published together by plain Parquet writes.
 
-Statements stage new images of tables; commit publishes them together by replacing one small manifest, which names the
-version folder of each table. A failure before that leaves the manifest, and so all tables, as they were. One
-writer at a time: a lock file made exclusively stands for the serial writer. Files are reached through
-Hadoop's file system, so the folder may be anywhere Spark reads.
+Statements only extend lazy plans, each on the image the one before it left. When the block ends well, every changed
+table is written to a new folder, and the new images take the old ones' place after the last write. When it
+fails, or a write does, the tables stay as they were.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from .dml import Change
 
 
 class TransactionError(RuntimeError):
     pass
 
 
-class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.listeners: list[tuple[frozenset | None, Callable]] = []
-        self.scope: Scope | None = None
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
-
-    def manifest(self) -> dict:
-        path = self._path(f"{self.folder}/manifest.json")
-        if not self._fs.exists(path):
-            return {"version": 0, "tables": {}}
-        stream = self._fs.open(path)
-        try:
-            return json.loads(bytes(b & 0xFF for b in stream.readAllBytes()))
-        finally:
-            stream.close()
-
-    def version(self) -> int:
-        return self.manifest()["version"]
+class Transaction:
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.images, self.changed, self.open = dict(tables), set(), True
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.manifest()['tables'][name]}")
-
-    def on_commit(self, callback: Callable[[int, frozenset], None], entities=None) -> None:
-        """Calls back after commits, or only after those that change one of the entities."""
-        self.listeners.append((frozenset(entities) if entities is not None else None, callback))
-
-    @contextmanager
-    def transaction(self):
-        if self.scope is not None:
-            raise TransactionError("transactions do not nest")
-        lock = self._path(f"{self.folder}/writer.lock")
-        if not self._fs.createNewFile(lock):
-            raise TransactionError("another writer is active")
-        self.scope = scope = Scope(self)
-        try:
-            yield scope
-            published = scope._publish()
-        finally:
-            scope.closed, self.scope = True, None
-            self._fs.delete(lock, False)
-        if published:
-            for entities, callback in self.listeners:
-                if entities is None or entities & published[1]:
-                    callback(*published)
-
-
-class Scope:
-    """The statements of one transaction; reads see what the scope has staged."""
-
-    def __init__(self, store: Store):
-        self.store, self.staged, self.closed = store, {}, False
-
-    def _open(self) -> None:
-        if self.closed:
+        if not self.open:
             raise TransactionError("the transaction has ended")
-
-    def read(self, name: str) -> DataFrame:
-        self._open()
-        if name in self.staged:
-            return self.store.spark.read.parquet(f"{self.store.folder}/{self.staged[name]}")
-        return self.store.read(name)
+        return self.images[name]
 
     def write(self, name: str, image: DataFrame) -> None:
-        self._open()
-        folder = f"{name}-{uuid.uuid4().hex}"
-        image.write.parquet(f"{self.store.folder}/{folder}")
-        self.staged[name] = folder
+        if not self.open:
+            raise TransactionError("the transaction has ended")
+        self.images[name] = image
+        self.changed.add(name)
 
-    def apply(self, name: str, change) -> DataFrame:
-        """Stages a change of :mod:`dml` and gives the rows it affects."""
+    def apply(self, name: str, change: Change) -> DataFrame:
+        """Takes the table a change of :mod:`dml` leaves and gives the rows it affects."""
         self.write(name, change.table)
         return change.affected
 
-    def _publish(self):
-        if not self.staged:
-            return None
-        s = self.store
-        manifest = s.manifest()
-        new = {"version": manifest["version"] + 1, "tables": manifest["tables"] | self.staged}
-        temporary, final = s._path(f"{s.folder}/manifest-{uuid.uuid4().hex}.tmp"), s._path(f"{s.folder}/manifest.json")
-        out = s._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        context = s.spark.sparkContext._jvm.org.apache.hadoop.fs
-        files = context.FileContext.getFileContext(final.toUri(), s.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = s.spark.sparkContext._gateway.new_array(context.Options.Rename, 1)
-        overwrite[0] = context.Options.Rename.OVERWRITE
-        files.rename(temporary, final, overwrite)
-        return new["version"], frozenset(self.staged)
+
+@contextmanager
+def transaction(tables: dict[str, DataFrame], folder: str, committed: Callable[[frozenset], None] | None = None) -> Iterator[Transaction]:
+    """Changes ``tables`` in place at the end; ``committed`` is then called with the names of those that changed."""
+    tx = Transaction(tables)
+    try:
+        yield tx
+    finally:
+        tx.open = False
+    new = {}
+    for name in sorted(tx.changed):
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        tx.images[name].write.parquet(path)
+        new[name] = tx.images[name].sparkSession.read.schema(tx.images[name].schema).parquet(path)
+    tables.update(new)
+    if new and committed:
+        committed(frozenset(new))

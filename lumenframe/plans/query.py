@@ -133,7 +133,6 @@ class Query:
         out = self.source if self.source is not None else (spark or SparkSession.active()).range(1)
         if self.ands or self.ors:
             out = out.where(fold_and_or(list(self.ands), list(self.ors)))
-        hidden = []
         if self.groups is not None:
             having = [self.having_.alias("_having")] if self.having_ is not None else []
             out = out.groupBy(*self.groups).agg(*[c for c in self.columns], *having) if self.columns else out.groupBy(*self.groups).agg(F.count("*").alias("n"), *having)
@@ -151,7 +150,7 @@ class Query:
             out = {"union": lambda a, b: a.union(b).distinct(), "union all": lambda a, b: a.union(b), "intersect": lambda a, b: a.intersect(b), "except": lambda a, b: a.subtract(b)}[kind](out, other)
         if self.orders:
             out = out.orderBy(*self.orders)
-        return self._cut(out.drop(*hidden))
+        return self._cut(out)
 
     def _cut(self, out: DataFrame) -> DataFrame:
         if self.offset_:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,13 @@ from .functions import codecs, dates
 from .functions import exprs as X
 from .functions.udf import scalar
 from .operators import dml
-from .operators.txn import Store
+from .operators.txn import transaction
 from .plans import recursion
 from .plans.params import Param, QueryDef, indexed
-from .plans.query import ascending, descending, exactly_one, fetch_at_most, fetch_one, row, select
+from .plans.query import ascending, cursor, descending, exactly_one, fetch_at_most, fetch_one, row, select
 from .sources.shared import shared_dir
-from .sources.tables import TableDef, nested, scan, validate, view
-from .streaming.live import LiveQuery, file_snapshots
+from .sources.tables import TableDef, create_as, nested, scan, validate, view
+from .streaming.live import file_snapshots, first_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,15 +70,37 @@ def _(s, d):
     return select("c_mktsegment", F.count("*").alias("n")).from_(v).group_by("c_mktsegment").df()
 
 
-@key("create_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE false")
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/lumenframe/{uuid.uuid4().hex}"
+
+
+@key("create_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 5000")
 def _(s, d):
-    return CUSTOMER.empty(s)
+    name = CUSTOMER.create(s, f"customer_{uuid.uuid4().hex}", _folder(s))
+    CUSTOMER.scan(s, d).where("c_acctbal > 5000").write.insertInto(name)
+    return s.table(name)
+
+
+@key("create_table_if_not_exists", "SELECT CAST(0 AS BIGINT) AS before, count(*) AS after FROM region")
+def _(s, d):
+    regions = TableDef("region", scan(s, d, "region").schema)
+    name = regions.create(s, f"region_{uuid.uuid4().hex}", _folder(s))
+    before = s.table(name).agg(F.count("*").alias("before")).first().before
+    regions.scan(s, d).write.insertInto(name)
+    regions.create(s, name)  # it is there, so nothing happens
+    return s.table(name).agg(lit(before).cast("bigint").alias("before"), F.count("*").alias("after"))
 
 
 @key("ctas", "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1")
 def _(s, d):
-    out = scan(s, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("nations"))
-    return out  # written by sources.tables.create_as; the query is what it stores
+    return create_as(scan(s, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("nations")), f"nations_{uuid.uuid4().hex}", _folder(s))
+
+
+@key("qualified_name", "SELECT r_name FROM region WHERE r_regionkey > 2")
+def _(s, d):
+    name = f"spark_catalog.default.region_{uuid.uuid4().hex}"
+    create_as(scan(s, d, "region"), name, _folder(s))
+    return s.table(name).where("r_regionkey > 2").select("r_name")
 
 
 # --- projection, filter and predicates -------------------------------------------------------------------------------
@@ -260,6 +283,17 @@ def _(s, d):
     return select("o_orderkey", "c_name").from_(o).join(cu, on=c("o_custkey") == c("c_custkey")).df()
 
 
+@key("join_theta_range", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey > r_regionkey")
+def _(s, d):
+    return select("r_name", "n_name").from_(scan(s, d, "region"), "r").join(scan(s, d, "nation"), "n", c("n_regionkey") > c("r_regionkey")).df()
+
+
+@key("join_left_nullable", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey")
+def _(s, d):
+    large = scan(s, d, "orders").where("o_totalprice > 300000")
+    return select("c_custkey", "o_orderkey").from_(scan(s, d, "customer")).left_join(large, "o", c("c_custkey") == c("o_custkey")).df()
+
+
 @key("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def _(s, d):
     n = scan(s, d, "nation")
@@ -535,7 +569,8 @@ def _(s, d):
 
 @key("cte_materialized", f"WITH cte0 AS MATERIALIZED ({SUBTOTAL}) SELECT count(*) AS n FROM cte0 a JOIN cte0 b ON a.l_orderkey = b.l_orderkey + 1")
 def _(s, d):
-    once = subtotals(s, d).persist()
+    subtotals(s, d).write.parquet(folder := _folder(s))
+    once = s.read.parquet(folder)
     return once.alias("a").join(once.alias("b"), c("a.l_orderkey") == c("b.l_orderkey") + 1).agg(F.count("*").alias("n"))
 
 
@@ -636,6 +671,12 @@ def _(s, d):
     return j.select("o_orderkey", *nested(cu, "e", "customer"))
 
 
+@key("enum_raw", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def _(s, d):
+    codec = codecs.enum_codec(["F", "O", "P"], "status")
+    return scan(s, d, "orders").select("o_orderkey", codec.decode(c("o_orderstatus")).alias("o_orderstatus")).where(c("o_orderstatus").isin(codec.encode(lit("F")), codec.encode(lit("P"))))
+
+
 @key("enum_unknown", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(s, d):
     return scan(s, d, "orders").select("o_orderkey", codecs.checked_enum(c("o_orderstatus"), ["F", "O", "P"], "status").alias("o_orderstatus"))
@@ -677,6 +718,24 @@ def _(s, d):
     return dml.insert_or(*supplier(s, d), "replace", ["s_suppkey"]).table
 
 
+def _refused(action: str):
+    """A batch with a key that exists is refused whole, the table stays; one without goes in."""
+
+    def run(s, d):
+        table, new = supplier(s, d)
+        try:
+            dml.insert_or(table, new.unionByName(table.where("s_suppkey = 1")), action, ["s_suppkey"])
+        except dml.ConflictError:
+            return dml.insert_or(table, new.withColumn("s_suppkey", c("s_suppkey") + 1_000_000), action, ["s_suppkey"]).table
+        return table.limit(0)
+
+    return run
+
+
+for _action in ("abort", "fail", "rollback"):
+    key(f"insert_or_{_action}", "SELECT * FROM supplier UNION ALL SELECT s_suppkey + 1000095, 'New' || s_suppkey, s_nationkey, s_acctbal + 1 FROM supplier WHERE s_suppkey < 10")(_refused(_action))
+
+
 @key("replace", REPLACED)
 def _(s, d):
     return dml.replace(*supplier(s, d), ["s_suppkey"]).table
@@ -762,6 +821,32 @@ def _(s, d):
     return _rows(s, fetch_at_most(df, 5), df)
 
 
+@key("cursor", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
+def _(s, d):
+    df = scan(s, d, "orders").orderBy("o_orderkey").select("o_orderkey")
+    return _rows(s, list(islice(cursor(df), 7)), df)  # seven steps of the cursor
+
+
+@key("static_query", "SELECT p_partkey, p_brand FROM part WHERE p_size = 7")
+def _(s, d):
+    q = QueryDef("of_size", lambda spark, size: scan(spark, d, "part").where(c("p_size") == size).select("p_partkey", "p_brand"), (Param("size", "int"),))
+    return q.df(s, size=7)
+
+
+@key("static_query_one", "SELECT p_partkey, p_brand FROM part WHERE p_partkey = 7")
+def _(s, d):
+    part = scan(s, d, "part").select("p_partkey", "p_brand")
+    q = QueryDef("one", lambda spark, k: part.where(c("p_partkey") == k), (Param("k", "bigint"),), cardinality="exactlyOne")
+    return _rows(s, [q.fetch(s, k=7)], part)
+
+
+@key("write_command", "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1")
+def _(s, d):
+    folder = _folder(s)
+    scan(s, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")).write.parquet(folder)
+    return s.read.parquet(folder)
+
+
 @key("cardinality", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
 def _(s, d):
     df = scan(s, d, "customer").where("c_custkey = 42").select("c_custkey", "c_name")
@@ -813,24 +898,13 @@ def _(s, d):
 # --- transactions and live queries -----------------------------------------------------------------------------------
 
 
-def _folder(s) -> str:
-    return f"{shared_dir(s)}/lumenframe/{uuid.uuid4().hex}"
-
-
-def _store(s, d) -> Store:
-    store = Store(s, _folder(s))
-    with store.transaction() as t:
-        t.write("supplier", scan(s, d, "supplier"))
-    return store
-
-
 @key("txn_commit", "SELECT * FROM (SELECT s_suppkey, s_name, s_nationkey, s_acctbal + CASE WHEN s_nationkey = 3 THEN 1 ELSE 0 END AS s_acctbal FROM supplier) WHERE NOT (s_acctbal < 2000)")
 def _(s, d):
-    store = _store(s, d)
-    with store.transaction() as t:
+    tables = {"supplier": scan(s, d, "supplier")}
+    with transaction(tables, _folder(s)) as t:
         t.apply("supplier", dml.update(t.read("supplier"), {"s_acctbal": c("s_acctbal") + 1}, c("s_nationkey") == 3))
         t.apply("supplier", dml.delete(t.read("supplier"), c("s_acctbal") < 2000))
-    return store.read("supplier")
+    return tables["supplier"]
 
 
 class _GaveUp(Exception):
@@ -839,25 +913,37 @@ class _GaveUp(Exception):
 
 @key("txn_rollback", "SELECT * FROM supplier")
 def _(s, d):
-    store = _store(s, d)
+    tables = {"supplier": scan(s, d, "supplier")}
     try:
-        with store.transaction() as t:
+        with transaction(tables, _folder(s)) as t:
             t.apply("supplier", dml.delete(t.read("supplier"), c("s_acctbal") < 2000))
             raise _GaveUp
     except _GaveUp:
         pass
-    return store.read("supplier")
+    return tables["supplier"]
+
+
+def _live(s, d, query, cut=lambda df: df) -> DataFrame:
+    """Suppliers come in two commits; after each one the query's newest snapshot is delivered."""
+    folder, t = _folder(s), scan(s, d, "supplier")
+    for some in (t.where("s_acctbal >= 5000"), t.where("s_acctbal >= 2000 AND s_acctbal < 5000")):
+        some.write.mode("append").parquet(f"{folder}/supplier")
+        file_snapshots(s, f"{folder}/supplier", t.schema, query, f"{folder}/progress", lambda n, df: cut(df).write.mode("overwrite").parquet(f"{folder}/snapshot"))
+    return s.read.parquet(f"{folder}/snapshot")
+
+
+def _by_nation(df: DataFrame) -> DataFrame:
+    return df.groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
 @key("live_query", "SELECT s_nationkey, count(*) AS n FROM supplier WHERE NOT (s_acctbal < 2000) GROUP BY 1")
 def _(s, d):
-    store = _store(s, d)
-    counts = lambda x: x.read("supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    live = LiveQuery(store, counts, ["supplier"])
-    live.poll()  # the first snapshot; the commit calls for another
-    with store.transaction() as t:
-        t.apply("supplier", dml.delete(t.read("supplier"), c("s_acctbal") < 2000))
-    return _rows(s, live.poll(), counts(store))
+    return _live(s, d, _by_nation)
+
+
+@key("live_query_first", "SELECT s_nationkey, count(*) AS n FROM supplier WHERE NOT (s_acctbal < 2000) GROUP BY 1 ORDER BY n DESC, s_nationkey LIMIT 1")
+def _(s, d):
+    return _live(s, d, _by_nation, first_row(F.desc("n"), "s_nationkey"))
 
 
 @key("live_query_batch", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1")
@@ -868,9 +954,30 @@ def _(s, d):
     return s.read.parquet(f"{folder}/snapshot")
 
 
+@key("point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def _(s, d):
+    return select("o_orderkey", "o_custkey", "o_totalprice").from_(scan(s, d, "orders")).where(c("o_orderkey") == 77).df()
+
+
+@key("page_of_two_joins", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey ORDER BY o_orderkey LIMIT 32")
+def _(s, d):
+    q = select("o_orderkey", "c_name", "n_name").from_(scan(s, d, "orders")).join(scan(s, d, "customer"), on=c("o_custkey") == c("c_custkey")).join(scan(s, d, "nation"), on=c("c_nationkey") == c("n_nationkey"))
+    return q.order_by("o_orderkey").limit(32).df()
+
+
+@key("full_read", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def _(s, d):
+    return scan(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
 FLAGSHIP = "SELECT c.c_custkey, c.c_name, ROUND(SUM(l.l_extendedprice*(1-l.l_discount)),2) AS revenue, COUNT(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey=o.o_orderkey JOIN {customer} c ON o.o_custkey=c.c_custkey GROUP BY c.c_custkey, c.c_name HAVING COUNT(*)>10 ORDER BY revenue DESC, c.c_custkey LIMIT 10"
 
 
 @key("flagship", FLAGSHIP.format(lineitem="lineitem", orders="orders", customer="customer"))
 def flagship(s, d):
-    return s.sql(FLAGSHIP, **{t: scan(s, d, t) for t in ("lineitem", "orders", "customer")})
+    """Lines are summed by order below the joins, so only a row for each order is shuffled on."""
+    lines = scan(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(c("l_extendedprice") * (1 - c("l_discount"))).alias("revenue"), F.count("*").alias("n"))
+    orders = scan(s, d, "orders").select("o_orderkey", "o_custkey").join(lines, c("o_orderkey") == c("l_orderkey"))
+    by = orders.groupBy("o_custkey").agg(F.sum("revenue").alias("revenue"), F.sum("n").alias("n")).where("n > 10")
+    out = by.join(scan(s, d, "customer").select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"))
+    return out.select("c_custkey", "c_name", F.round("revenue", 2).alias("revenue"), "n").orderBy(F.desc("revenue"), "c_custkey").limit(10)

@@ -29,11 +29,11 @@ class TableDef:
     def empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self.schema)
 
-    def create(self, spark: SparkSession, name: str | None = None) -> str:
-        """CREATE TABLE IF NOT EXISTS; the name may be qualified by a catalog and a schema."""
+    def create(self, spark: SparkSession, name: str | None = None, path: str | None = None) -> str:
+        """CREATE TABLE IF NOT EXISTS, at ``path`` or in the warehouse; the name may be qualified by a catalog and a schema."""
         name = name or self.name
         if not spark.catalog.tableExists(name):
-            self.empty(spark).write.format("parquet").mode("ignore").saveAsTable(name)
+            create_as(self.empty(spark), name, path)
         return name
 
 
@@ -42,9 +42,9 @@ def scan(spark: SparkSession, folder: str, name: str, alias: str | None = None)
     return df.alias(alias) if alias else df
 
 
-def create_as(df: DataFrame, name: str) -> DataFrame:
-    """CREATE TABLE IF NOT EXISTS name AS query."""
-    df.write.format("parquet").mode("ignore").saveAsTable(name)
+def create_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """CREATE TABLE IF NOT EXISTS name AS query, at ``path`` or in the warehouse."""
+    df.write.format("parquet").mode("ignore").options(**({"path": path} if path else {})).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

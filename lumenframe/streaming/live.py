@@ -1,108 +1,16 @@
-"""Live queries: a query is run again after commits that touch its tables, and the newest snapshot is kept.
+"""Live queries with Structured Streaming: a query over a table that grows, delivered anew after what was added to it.
 
-:class:`LiveQuery` follows a :class:`~lumenframe.operators.txn.Store`; :func:`file_snapshots` follows a folder that files
-are added to, with Structured Streaming in complete mode.
+Deliveries are DataFrames, so a snapshot of any size stays in Spark; a consumer that asks late gets the newest one only, as
+a run takes all that is new at once. Failed runs go on from the checkpoint.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-class Closed(RuntimeError):
-    pass
-
-
-class SingleSlot:
-    """Holds one undelivered value; a newer one takes its place."""
-
-    def __init__(self):
-        self.value, self.full, self.closed = None, False, False
-
-    def put(self, value) -> None:
-        if not self.closed:
-            self.value, self.full = value, True
-
-    def take(self):
-        if not self.full:
-            raise Closed("nothing to deliver") if self.closed else LookupError("nothing new")
-        value, self.value, self.full = self.value, None, False
-        return value
-
-
-class RetryPolicy:
-    """Waits before each new try after a transient failure; the budget is whole again after a delivery. Empty: failures are final."""
-
-    def __init__(self, delays=(), transient: Callable[[Exception], bool] = lambda e: False, sleep=time.sleep):
-        self.delays, self.transient, self.sleep, self.used = tuple(delays), transient, sleep, 0
-
-    def failed(self, error: Exception) -> None:
-        if self.used >= len(self.delays) or not self.transient(error):
-            raise error
-        self.sleep(self.delays[self.used])
-        self.used += 1
-
-    def delivered(self) -> None:
-        self.used = 0
-
-
-# The waits, in seconds, of the usual policy for a busy store.
-BUSY = (0.1, 0.2, 0.4)
-
-
-class LiveQuery:
-    """Snapshots of ``query(store)`` for a consumer that asks; nothing runs before the first request.
-
-    Commits to other tables, rolled back transactions and statements inside one transaction cause no run of their own.
-    """
-
-    def __init__(self, store, query: Callable[[object], DataFrame], entities, first: bool = False, retry: RetryPolicy | None = None):
-        self.store, self.query, self.entities, self.first = store, query, frozenset(entities), first
-        self.retry, self.slot, self.started, self.ended = retry or RetryPolicy(), SingleSlot(), False, False
-        self.stale = True
-
-    def _start(self) -> None:
-        if self.store.scope is not None:
-            raise Closed("a live query cannot start inside a transaction")
-        if not self.started:
-            self.started = True
-            self.store.on_commit(lambda version, names: setattr(self, "stale", True), self.entities)
-
-    def poll(self):
-        """The newest snapshot, or None if no commit asks for another."""
-        if self.ended:
-            raise Closed("the live query has ended")
-        self._start()
-        while self.stale:
-            self.stale = False
-            try:
-                rows = self.query(self.store)
-                self.slot.put((rows.take(1) or [None])[0] if self.first else rows.collect())  # the consumer asked for the rows
-            except Exception as e:
-                self.stale = True
-                try:
-                    self.retry.failed(e)
-                except Exception:
-                    self.ended = True
-                    raise
-        if not self.slot.full:
-            return None
-        self.retry.delivered()
-        return self.slot.take()
-
-    def cancel(self) -> None:
-        self.ended = self.slot.closed = True
-
-    def publish(self, callback: Callable) -> None:
-        """Pushes the snapshot now and after each commit that matters."""
-        self._start()
-        callback(self.poll())
-        self.store.on_commit(lambda version, names: self.ended or callback(self.poll()), self.entities)
-
-
 def file_snapshots(spark: SparkSession, folder: str, schema, query: Callable[[DataFrame], DataFrame], checkpoint: str, deliver: Callable[[int, DataFrame], None]) -> None:
     """Runs an aggregate query over all files so far, once for what is new; repeated calls go on from the checkpoint."""
     stream = query(spark.readStream.schema(schema).parquet(folder))
@@ -110,6 +18,6 @@ def file_snapshots(spark: SparkSession, folder: str, schema, query: Callable[[Da
     run.awaitTermination()
 
 
-def snapshots(live: LiveQuery) -> Iterator:
-    while (rows := live.poll()) is not None:
-        yield rows
+def first_row(*order) -> Callable[[DataFrame], DataFrame]:
+    """For a live query of one row: what :func:`file_snapshots` delivers, cut to its first row in the given order."""
+    return lambda df: df.orderBy(*order).limit(1)

@@ -1,17 +1,18 @@
 """Builder, parameters, recursion, data-changing statements, transactions and live queries."""
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.udf import FunctionError, scalar
 from lumenframe.operators import dml
-from lumenframe.operators.txn import Store, TransactionError
+from lumenframe.operators.txn import TransactionError, transaction
 from lumenframe.plans import recursion
 from lumenframe.plans.params import BindingError, Param, QueryDef
 from lumenframe.plans.query import CardinalityError, ClauseError, cursor, exactly_one, row, select, zero_or_one
 from lumenframe.sources.tables import Namespace, SchemaError, TableDef, create_as, nested, rebuilt, validate
-from lumenframe.streaming.live import BUSY, Closed, LiveQuery, RetryPolicy, SingleSlot, file_snapshots
+from lumenframe.streaming.live import file_snapshots, first_row
 
 ITEM = TableDef("item", T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("n", T.LongType())]), ("id",))
 
@@ -122,57 +123,35 @@ def test_dml(spark, items):
 
 
 def test_transactions(spark, items, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/db")
-    seen = []
-    store.on_commit(lambda v, names: seen.append((v, set(names))))
-    with store.transaction() as tx:
-        tx.write("item", items)
-        with pytest.raises(TransactionError), store.transaction():
-            pass
-    with pytest.raises(ZeroDivisionError), store.transaction() as tx:
+    tables, seen = {"item": items, "other": items}, []
+    with transaction(tables, f"file://{tmp_path}/db", seen.append) as tx:
+        gone = tx.apply("item", dml.delete(tx.read("item"), F.lit(True)))
+        assert tx.read("item").count() == 0 and gone.count() == 3 and tables["item"].count() == 3
+        tx.write("item", items.limit(2))
+    assert tables["item"].count() == 2 and seen == [{"item"}] and len(list((tmp_path / "db").iterdir())) == 1
+    with pytest.raises(ZeroDivisionError), transaction(tables, f"file://{tmp_path}/db", seen.append) as tx:
         tx.apply("item", dml.delete(tx.read("item")))
-        assert tx.read("item").count() == 0
         1 / 0
-    assert store.read("item").count() == 3 and store.version() == 1 and seen == [(1, {"item"})]
+    assert tables["item"].count() == 2 and len(seen) == 1
     with pytest.raises(TransactionError):
         tx.read("item")
 
 
-def test_live_query(spark, items, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/db")
-    with store.transaction() as tx:
-        tx.write("item", items)
-        tx.write("other", items)
-    live = LiveQuery(store, lambda s: s.read("item"), ["item"])
-    assert not live.started and len(live.poll()) == 3 and live.poll() is None
-    with store.transaction() as tx:
-        tx.write("other", items)
-    assert live.poll() is None
-    for n in (2, 1):
-        with store.transaction() as tx:
-            tx.write("item", items.limit(n))
-    assert len(live.poll()) == 1  # the newest only
-    live.cancel()
-    with pytest.raises(Closed):
-        live.poll()
-
-
-def test_retry():
-    waits = []
-    policy = RetryPolicy(BUSY, lambda e: isinstance(e, OSError), waits.append)
-    for _ in BUSY:
-        policy.failed(OSError())
-    with pytest.raises(OSError):
-        policy.failed(OSError())
-    policy.delivered()
-    policy.failed(OSError())
-    assert waits == [*BUSY, BUSY[0]]
-    with pytest.raises(KeyError):
-        RetryPolicy().failed(KeyError())
-    slot = SingleSlot()
-    slot.put(1)
-    slot.put(2)
-    assert slot.take() == 2
+def test_repeated_keys_are_refused(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(PySparkException, match="more than once"):
+        dml.upsert_update(table, twice, ["k"], {"v": F.col("excluded.v")}).table.collect()
+    with pytest.raises(PySparkException, match="more than once"):
+        dml.update_from(table, twice, ["k"], {"v": F.col("s.v")}).table.collect()
+    assert [tuple(r) for r in dml.insert_or(table.limit(0), twice, "ignore", ["k"]).table.collect()] == [(1, "x")]
+    for action in ("abort", "fail", "rollback"):
+        with pytest.raises(dml.ConflictError):
+            dml.insert_or(table, twice, action, ["k"])
+
+
+def test_live_first_row(items, tmp_path):
+    assert first_row(F.desc(items.columns[0]))(items).count() == 1
 
 
 def test_file_snapshots(spark, items, tmp_path):

@@ -2,8 +2,8 @@
 
 Word counts of all training documents are summed in Spark; from them come the base score and, with the pairs of ids where words
 meet, the table of subword ids, which grows with the corpus, and the corpus bigrams the model starts from. A causal
-self-attention model (:mod:`attention`) is first trained on a few documents, then every input task trains a copy of it
-on all its training documents, and the copies are averaged. Scoring tokenises each distinct word once, and each
+self-attention model (:mod:`attention`) is first trained on a few documents, then copies of it are trained on about ``TRAINER``
+documents each, so that together they see every training document, and averaged. Scoring tokenises each distinct word once, and each
 position is scored once under overlapping windows.
 
 Counts of the ``HEAD`` most frequent words are sent to all tasks; those of other words are joined by word.
@@ -30,7 +30,7 @@ from .common import fold, staged
 from .textbytes import text_slices
 
 HEAD, HEAD_BYTES = 100_000, 64
-PILOT, CACHE, PAIRS = 800, 300_000, 4_000_000
+PILOT, TRAINER, CACHE, PAIRS = 800, 2_000, 300_000, 4_000_000
 PILOT_EPOCHS, PILOT_RATE, LOCAL_RATE = 4, 0.01, 0.004
 TOKENIZER = "piece_bpe_32k.model"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -152,11 +152,11 @@ class Model:
 
 
 def fit(training: DataFrame, counts: DataFrame, path: str | None = None) -> Model:
-    """Pilot on a few documents, then local training in all tasks on all training documents and an average weighted by tokens."""
+    """Pilot on a few documents, then trainers on all training documents and an average weighted by tokens."""
     row = counts.where("word = ''").agg(F.sum("c").alias("texts")).first()
     vocabulary, prior = prior_from(training, counts, int(row.texts or 0), path)
     hashed = F.xxhash64("doc_id", F.lit(17))
-    pilot = training.where("length(text) < 100000").orderBy(hashed, "doc_id").limit(PILOT).select("text").collect()  # PILOT documents
+    pilot = training.orderBy(hashed, "doc_id").limit(PILOT).select("text").collect()  # PILOT documents
     model = Model(vocabulary, prior, attention.fresh(vocabulary), path)
     sequences = model.sequences(tokenizer(path), [(r.text or "").encode() for r in pilot])
     model.parameters = attention.train(model.parameters, prior, sequences, vocabulary, PILOT_EPOCHS, PILOT_RATE, back=len(sequences) // 8)
@@ -176,16 +176,27 @@ def fit(training: DataFrame, counts: DataFrame, path: str | None = None) -> Mode
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([attention.packed(p).tolist()], pa.list_(pa.float32()))], ["weight", "parameters"])
 
-    local = training.select("text").mapInArrow(run, "weight long, parameters array<float>").select("weight", F.posexplode("parameters").alias("at", "x"))
-    mean = local.groupBy("at").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"), F.sum("weight").alias("seen")).collect()  # one row for each parameter
+    # A trainer has about TRAINER texts, dealt by a hash of the row, so the model does not depend on how files are split.
+    trainers = max(1, -(-int(row.texts or 0) // TRAINER))
+    spread = training.select("text", hashed.alias("deal")).repartition(trainers, "deal", F.xxhash64("text")).select("text")
+    local = staged(spread.mapInArrow(run, "weight long, parameters array<float>"), "trained")
+    # Averages of averages: about the root of the number of trainers each, and as many on the driver.
+    few = max(1, round(trainers**0.5))
+    mean = local.withColumn("part", F.pmod(F.xxhash64("weight", "parameters"), F.lit(few))).groupBy("part").applyInArrow(_averaged, "weight long, parameters array<float>").collect()
     if mean:
-        vector = np.zeros(len(mean), np.float32)
-        for r in mean:
-            vector[r.at] = r.x
-        model.parameters, model.trained = attention.unpacked(vector, model.parameters), mean[0].seen
+        weight = np.array([r.weight for r in mean], np.float64)
+        vector = (weight[:, None] * np.array([r.parameters for r in mean], np.float32)).sum(0) / weight.sum()
+        model.parameters, model.trained = attention.unpacked(vector.astype(np.float32), model.parameters), int(weight.sum())
     return model
 
 
+def _averaged(table: pa.Table) -> pa.Table:
+    """One row for some trainers: their parameters' average, weighted by what they were trained on."""
+    weight = table.column("weight").to_numpy().astype(np.float64)
+    total = sum(w * np.array(p.values, np.float64) for w, p in zip(weight, table.column("parameters")))
+    return pa.table({"weight": pa.array([int(weight.sum())], pa.int64()), "parameters": pa.array([(total / weight.sum()).astype(np.float32).tolist()], pa.list_(pa.float32()))})
+
+
 class Lookup:
     """Distinct words of a task: their compact ids, what ids outside the table add, and their log counts."""
 

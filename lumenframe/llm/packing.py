@@ -214,6 +214,8 @@ def evolved(loose: DataFrame, pools: int, deal: int, length: int, islands: int,
     schema = "pool long, island int, row long, length long, bins array<bigint>, fill long, used long, done boolean"
     out = None
     for epoch in range(epochs):
+        # A task has some eight islands; small rows alone would put thousands into one.
+        state = state.repartition(max(1, pools * islands // 8), "pool", "island")
         state = staged(state.groupBy("pool", "island", F.lit(epoch).alias("epoch")).applyInArrow(_island(length, generations, most), schema), f"epoch{epoch}")
         first = state.groupBy("pool").agg(F.min(F.struct("used", "island")).alias("best"), F.max("done").alias("ends"))
         state = state.drop("done").join(first.select("pool", F.col("best.island").alias("winner"), (F.col("ends") | F.lit(epoch + 1 == epochs)).alias("ends")), "pool")

@@ -30,3 +30,26 @@ def test_stages(spark, tmp_path):
     assert left["ngram_jaccard_join"] & {100, 101, 102} == {100} and clean <= left["ngram_jaccard_join"]
     assert left["ngram_jaccard_join"] - left["decontamination"] == {300}
     assert left["best_fit_packing"] == left["decontamination"]
+
+
+def test_odd_rows(spark, tmp_path):
+    rng = random.Random(9)
+    made = lambda n: " ".join(f"w{rng.randrange(2000)}" for _ in range(n))
+    long = made(20_000)
+    rows = [(1, made(80)), (2, None), (3, ""), (4, long), (None, made(60)), (6, made(50)), (6, made(50)), (7, " \n\n ")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, class_id long, bin int, pool int, length long"
+    docs = spark.createDataFrame([(i, t, None, None, None, 5, 6, 7, 8, 9) for i, t in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given, kept in ((docs, True), (docs.where("false"), False)):
+        left = given
+        for name, stage in P.STAGES[:-1]:
+            left = staged(stage(spark, left, str(tmp_path)), "odd")
+            assert left.columns == docs.columns, name
+        ids = [r.doc_id for r in left.select("doc_id").collect()]
+        packed = P.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+        if kept:
+            assert {1, 4, None} <= set(ids) and ids.count(6) == 2
+            assert {r.doc_id for r in packed} == set(ids)
+        else:
+            assert ids == [] and packed == []

@@ -39,8 +39,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 _known: dict[str, bytes] = {"": b""}  # of one Python worker; bounded by CACHE
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-# Punctuation between a letter (ASCII, or Latin-1 as UTF-8) and a space is a token of its own, so it may be cut off.
-_TAIL = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
+# Punctuation between a letter (ASCII, or Latin-1 as UTF-8) and a space is a token of its own, so it may be cut off. The pattern begins
+# with the punctuation and looks back from its first character: there is less of it to try than there are letters.
+_TAIL = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[ \n]|$)")
 
 
 class Encoder:
@@ -53,9 +54,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def ids(self, parts: list[str]) -> list[bytes]:
+        """ids of each part; parts are not empty."""
+        letters = [p.isalpha() for p in parts]
+        if any(letters) and not all(letters):
+            kinds = [iter(self.ids([p for p, x in zip(parts, letters) if x is kind])) for kind in (False, True)]
+            return [next(kinds[x]) for x in letters]
         made = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        if letters[0]:
+            # Every part has a word at least, so with as many ends of words as parts each has one; offsets cost more than ids.
+            raw = np.array(made.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends_word[raw]) + 1)
+            if len(ends) == len(parts):
+                raw = raw.tobytes()
+                return [raw[i:j] for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
         first = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
         of = np.searchsorted(first, np.array([o[0] for o in made.offsets], np.int64), side="right") - 1
         ends = 4 * np.searchsorted(of, np.arange(len(parts)), side="right")
@@ -64,10 +79,10 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         global _known
-        split = [_TAIL.sub(rb"\1 \2", t.translate(_LOWER)).replace(b"\n", b" ").decode().split(" ") for t in texts]
+        split = [_TAIL.sub(rb" \g<0>", t.translate(_LOWER)).replace(b"\n", b" ").decode().split(" ") for t in texts]
         words = set().union(*split)
         known = _known
-        fresh = list(words - known.keys())
+        fresh = list(words.difference(known))  # a dict itself: looked up, not gone through
         if len(known) + len(fresh) > CACHE:  # what this slice uses stays
             known = {p: known[p] for p in words if p in known}
         for i in range(0, len(fresh), 10_000):

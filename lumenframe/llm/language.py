@@ -127,7 +127,7 @@ class Lookup:
 
     def rows(self, texts: list[list[str]]) -> np.ndarray:
         distinct = set(chain.from_iterable(texts))
-        new = list(distinct - self.number.keys())
+        new = list(distinct.difference(self.number))
         if len(self.number) + len(new) > CACHE and self.number:
             self.clear()
             new = list(distinct)

@@ -104,7 +104,7 @@ def joints(documents: DataFrame, path: str | None) -> DataFrame:
         for batch in batches:
             for i, j, texts in text_slices(batch.column("text")):
                 split = [words(t) for t in texts]
-                new = list(set().union(*split) - number.keys())
+                new = list(set().union(*split).difference(number))
                 if len(number) + len(new) > CACHE and number:
                     number, ends, new = {}, ends[:0], list(set().union(*split))
                 number.update(zip(new, range(len(number), len(number) + len(new))))
@@ -212,7 +212,7 @@ class Lookup:
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """Numbers of all words, text after text."""
         words_ = set().union(*texts)
-        new = list(words_ - self.number.keys())
+        new = list(words_.difference(self.number))
         if len(self.number) + len(new) > CACHE and self.number:
             self.clear()
             new = list(words_)

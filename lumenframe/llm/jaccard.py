@@ -32,6 +32,7 @@ from .textbytes import PRIME, Words, mixed, text_slices
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 64, 3
 SIGNED_BLOCK, BLOCK_BYTES = 1024, 2 << 20
+SLICE_BYTES = 1 << 20  # of text worked on at once; several times as many are held meanwhile
 SLACK = 0.2  # how far below the threshold a signature's estimate may lie (4 standard errors)
 
 
@@ -81,37 +82,33 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, set_key (null without words), signature, shingles (low 32 bits, ascending), once for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list = []
-            signed: list = []
-            sets: list = []
-            for i, j, texts in text_slices(batch.column("text")):
-                h, first = shingle_sets(texts)
-                some = np.flatnonzero(np.diff(first))
-                key = np.full(j - i, 0, np.uint64)
-                part: list = [None] * (j - i)
-                sig: list = [None] * (j - i)
-                if len(some):
-                    starts = first[some]
-                    total = np.add.reduceat(mixed(h ^ PRIME), starts) + np.add.reduceat(h, starts) * PRIME
-                    key[some] = mixed(total + np.diff(first)[some].astype(np.uint64))
-                    made = signatures(h, np.r_[starts, len(h)])
-                    low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    for a, d in enumerate(some):
-                        sig[d] = made[a].tobytes()
-                        part[d] = np.sort(low[first[d] : first[d + 1]]).tobytes()
-                keys += [int(np.int64(k)) if s is not None else None for k, s in zip(key.view(np.int64), sig)]
-                signed += sig
-                sets += part
+def made_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of :func:`classes`, a slice of texts at a time: what is made of one is passed on before the next one's turn."""
+    for batch in batches:
+        for i, j, texts in text_slices(batch.column("text"), SLICE_BYTES):
+            h, first = shingle_sets(texts)
+            sizes = np.diff(first)
+            some = np.flatnonzero(sizes)
+            key, signed = np.zeros(j - i, np.uint64), np.zeros((0, SIGNATURE), np.uint32)
+            if len(some):
+                starts = first[some]
+                total = np.add.reduceat(mixed(h ^ PRIME), starts) + np.add.reduceat(h, starts) * PRIME
+                key[some] = mixed(total + sizes[some].astype(np.uint64))
+                signed = signatures(h, np.append(starts, len(h)))
+            low = np.sort((np.repeat(np.arange(j - i, dtype=np.uint64), sizes) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+            empty = sizes == 0
+            # Without words there are no bytes, and null stands for them.
+            column = lambda data, counts: pa.Array.from_buffers(
+                pa.binary(), j - i, [pa.array(~empty).buffers()[1], pa.py_buffer(np.append(0, 4 * np.cumsum(counts)).astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(signed, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "text_key", "set_key", "signature", "shingles"])
+                [batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(key.view(np.int64), mask=empty), column(signed.ravel(), np.where(empty, 0, SIGNATURE)), column(low, sizes)],
+                ["doc_id", "text_key", "set_key", "signature", "shingles"])
+
 
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key, set_key (null without words), signature, shingles (low 32 bits, ascending), once for each row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return docs.mapInArrow(run, "doc_id long, text_key long, set_key long, signature binary, shingles binary")
+    return docs.mapInArrow(made_sets, "doc_id long, text_key long, set_key long, signature binary, shingles binary")
 
 
 def children(level: int, runs: int):

@@ -1,13 +1,16 @@
 """Toxicity, language, language model, packing, join and decontamination: brute force, round trips, held-out accuracy."""
 
 import collections
+import gc
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -183,6 +186,17 @@ def test_join(spark):
     assert jaccard.join(docs.where("false")).count() == 0
 
 
+def test_sets_are_passed_on_slice_by_slice(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(9_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(9_000), "text_key": range(9_000), "text": texts})
+    tracemalloc.start()
+    sizes = [b.num_rows for b in jaccard.made_sets(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 9_000 and max(sizes) < 1_000 and peak < 100e6
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4_000)  # some ten sets
     rng = random.Random(9)

@@ -17,10 +17,11 @@ each for itself; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,63 +35,110 @@ LENGTH, END_ID = 2048, 0
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2_000, 2, 2, 12, 6
 #: Tokens a bin may lack to stay as it is; the share of pieces left over beyond which another deal is the last.
 SLACK, SHRINK = 2, 0.9
-CACHE = 400_000
+CACHE, SLICE_BYTES = 400_000, 4 << 20  # parts a task knows; text worked on at once
 TOKENIZER = "word_bpe_49k.json"
 
-_known: dict[str, bytes] = {"": b""}  # of one Python worker; bounded by CACHE
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-# Punctuation between a letter (ASCII, or Latin-1 as UTF-8) and a space is a token of its own, so it may be cut off. The pattern begins
-# with the punctuation and looks back from its first character: there is less of it to try than there are letters.
-_TAIL = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[ \n]|$)")
+_SPACE = ord(" ")
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
+_PUNCTUATION, _LETTER, _LATIN = (np.isin(np.arange(256), [*some]) for some in (
+    rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz", {*range(0x80, 0xC0)} - {0x97, 0xB7}))
+
+
+def parted(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Parts of the texts, each with a space at its end, no token crosses from one to the next; where each text's begin, with the end.
+
+    Punctuation between a letter (ASCII, or Latin-1 as UTF-8) and a space is a token of its own, so it is cut off.
+    """
+    buffer = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
+    marks = _PUNCTUATION[buffer]
+    edges = np.flatnonzero(marks[1:] != marks[:-1]) + 1
+    edges = edges[int(marks[0]) :]
+    starts, ends = edges[::2], edges[1::2]
+    before = buffer[starts - 1]
+    cut = starts[(buffer[ends] == _SPACE) & (_LETTER[before] | ((buffer[starts - 2] == 0xC3) & _LATIN[before]))]
+    buffer = np.insert(buffer, cut, _SPACE)
+    spaces = np.flatnonzero(buffer == _SPACE)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    first = np.searchsorted(spaces, bounds + np.searchsorted(cut, bounds))
+    offsets = np.append(0, spaces + 1).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(spaces), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]), first
+
+
+class Known:
+    """Parts with their ids, numbered in the order they were added."""
+
+    def __init__(self, parts: list[bytes] = [], ids: np.ndarray = np.zeros(0, "<u4"), sizes: np.ndarray = np.zeros(0, np.int64)):
+        self.number, self.ids, self.starts = dict(zip(parts, range(len(parts)))), ids, np.append(0, np.cumsum(sizes))
+
+    def add(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        self.ids, self.starts = np.append(self.ids, ids), np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+
+    def flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the numbered parts, one after another, and how many each has."""
+        sizes = (self.starts[1:] - self.starts[:-1])[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[:-1][numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
 
 class Encoder:
     """ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer folds case and no token crosses white space, so the parts of a text are encoded once each, many in one call.
+    The tokenizer folds case and no token crosses white space, so the distinct parts of the texts are encoded once each, many in one call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def ids(self, parts: list[str]) -> list[bytes]:
-        """ids of each part; parts are not empty."""
-        letters = [p.isalpha() for p in parts]
-        if any(letters) and not all(letters):
-            kinds = [iter(self.ids([p for p, x in zip(parts, letters) if x is kind])) for kind in (False, True)]
-            return [next(kinds[x]) for x in letters]
-        made = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        if letters[0]:
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = Known([b" "], sizes=np.zeros(1, np.int64))
+
+    def ids(self, parts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all parts, which are not empty, and how many each has. kind: 2 for letters a-z alone, 1 for letters alone, 0 for others."""
+        if kind == 2:  # a word each, which neither the normalizer nor the pre-tokenizer changes
+            made = [[t.id for t in self.tokenizer.model.tokenize(p)] for p in parts]
+            return np.fromiter(chain.from_iterable(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made))
+        if kind == 1:
             # Every part has a word at least, so with as many ends of words as parts each has one; offsets cost more than ids.
-            raw = np.array(made.ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.ends_word[raw]) + 1)
+            raw = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[raw]) + 1
             if len(ends) == len(parts):
-                raw = raw.tobytes()
-                return [raw[i:j] for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+                return raw, np.diff(ends, prepend=0)
+        made = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
         first = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
         of = np.searchsorted(first, np.array([o[0] for o in made.offsets], np.int64), side="right") - 1
-        ends = 4 * np.searchsorted(of, np.arange(len(parts)), side="right")
-        raw = np.array(made.ids, "<u4").tobytes()
-        return [raw[i:j] for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+        return np.array(made.ids, "<u4"), np.bincount(of, minlength=len(parts))
+
+    def learn(self, parts: list[bytes]) -> None:
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for p in b"".join(parts).decode().split(" ")[:-1]:
+            kinds[p.isalpha() and 1 + p.isascii()].append(p)
+        for kind, some in enumerate(kinds):
+            for i in range(0, len(some), 10_000):
+                self.known.add([f"{p} ".encode() for p in some[i : i + 10_000]], *self.ids(some[i : i + 10_000], kind))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        global _known
-        split = [_TAIL.sub(rb" \g<0>", t.translate(_LOWER)).replace(b"\n", b" ").decode().split(" ") for t in texts]
-        words = set().union(*split)
-        known = _known
-        fresh = list(words.difference(known))  # a dict itself: looked up, not gone through
-        if len(known) + len(fresh) > CACHE:  # what this slice uses stays
-            known = {p: known[p] for p in words if p in known}
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            known.update(zip(some, self.ids(some)))
-        _known = known if len(known) <= CACHE else {"": b""}
-        for parts in split:
-            yield b"".join(map(known.__getitem__, parts))
+        # A text that spells a special token, in any case, is encoded as it is: its parts may cut the token or make one.
+        whole = {k for k, t in enumerate(texts) if any(x in t.lower() for x in self.special)}
+        parts, first = parted([b"" if k in whole else t for k, t in enumerate(texts)] if whole else texts)
+        parts = parts.dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        known = self.known
+        fresh = [p for p in distinct if p not in known.number]
+        if len(known.number) + len(fresh) > CACHE:  # what this slice uses stays
+            kept = [b" ", *(p for p in distinct if p != b" " and p in known.number)]
+            self.known = known = Known(kept, *known.flat(np.array([known.number[p] for p in kept], np.int64)))
+        self.learn(fresh)
+        numbers = np.fromiter(map(known.number.__getitem__, distinct), np.int64, len(distinct))
+        ids, sizes = known.flat(numbers[parts.indices.to_numpy()])
+        ends = 4 * np.append(0, np.cumsum(sizes))[first]
+        raw = ids.tobytes()
+        for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            yield np.array(self.tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, "<u4").tobytes() if k in whole else raw[i:j]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -107,7 +155,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for i, j, texts in text_slices(batch.column("text")):
+            for i, j, texts in text_slices(batch.column("text"), SLICE_BYTES):
                 rows = []
                 for doc, made in zip(ids[i:j], encoder.encode(texts)):
                     made += end

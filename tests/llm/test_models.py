@@ -280,6 +280,31 @@ def test_encoder_equals_whole_texts():
         assert np.frombuffer(next(iter(parts.encode([t.encode()]))), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_of_many_texts_with_special_tokens_and_a_small_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    whole, parts = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    rng = random.Random(77)
+    chars = [*"abAB.,!?'\"s t re-_…×Äßñȩ́ \n\t\x1c ΣςİI12½中😀<|>&\x00", "'ll", "<|endoftext|>", "<|EndOfText|>", "word ", "Wort. ", "Öl, "]
+    for _ in range(400):
+        texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 6))]
+        got = [np.frombuffer(x, "<u4").tolist() for x in parts.encode([t.encode() for t in texts])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
+def test_a_task_leaves_no_words_behind():
+    texts = [f"word{i}a word{i}b".encode() for i in range(20_000)]
+    list(packing.Encoder(packing.tokenizer_path()).encode([b"a word, and another"]))  # imports
+    tracemalloc.start()
+    for _ in packing.Encoder(packing.tokenizer_path()).encode(texts):
+        pass
+    gc.collect()
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert left < 1e6
+
+
 def test_genetic_packing_improves_on_best_fit():
     rng = np.random.default_rng(1)
     sizes = [int(x) for x in rng.integers(300, 1100, 120)]

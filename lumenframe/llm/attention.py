@@ -207,6 +207,13 @@ class Scorer:
         return chosen - np.log(total)
 
 
+def _softmax(x: np.ndarray) -> None:
+    """Of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+
+
 def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability of the valid places."""
     x, q, k2, v2, s, z, h = _forward(p, inputs, first)
@@ -215,26 +222,34 @@ def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, va
     group = t // members
     g: dict[str, np.ndarray] = {}
     before = inputs.reshape(-1)
-    a = h @ p["classes"] + p["class_bias"] + prior.classes[before]
-    a = np.exp(a - a.max(1, keepdims=True))
-    a /= a.sum(1, keepdims=True)
+    a = h @ p["classes"]
+    a += p["class_bias"]
+    a += prior.classes[before]
+    _softmax(a)
     a[np.arange(len(t)), group] -= 1
     a *= w[:, None]
     g["classes"], g["class_bias"] = h.T @ a, a.sum(0)
     dh = a @ p["classes"].T
     g["members"], g["member_bias"] = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(len(p["members"]) + 1))
-    for c in range(len(p["members"])):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            b = h[rows] @ p["members"][c] + p["member_bias"][c] + prior.members[prior.place[before[rows] * len(p["members"]) + c]]
-            b = np.exp(b - b.max(1, keepdims=True))
-            b /= b.sum(1, keepdims=True)
-            b[np.arange(len(rows)), t[rows] - c * members] -= 1
-            b *= w[rows, None]
-            g["members"][c], g["member_bias"][c] = h[rows].T @ b, b.sum(0)
-            dh[rows] += b @ p["members"][c].T
+    # Places by class, so that only the products go class by class and all else is done at once; ids outside the table come last.
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(len(p["members"]) + 1)).tolist()
+    known = order[: ends[-1]]
+    own, of = h[known], group[known]
+    b, back = np.empty((len(known), members), np.float32), np.empty_like(own)
+    ranges = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if j > i]
+    for c, rows in ranges:
+        np.matmul(own[rows], p["members"][c], out=b[rows])
+        b[rows] += p["member_bias"][c]
+    b += prior.members[prior.place[before[known] * len(p["members"]) + of]]
+    _softmax(b)
+    b[np.arange(len(known)), t[known] - of * members] -= 1
+    b *= w[known, None]
+    for c, rows in ranges:
+        np.matmul(own[rows].T, b[rows], out=g["members"][c])
+        g["member_bias"][c] = b[rows].sum(0)
+        np.matmul(b[rows], p["members"][c].T, out=back[rows])
+    dh[known] += back
     dh *= h > 0
     g["mix"], g["mix_bias"] = z.T @ dh, dh.sum(0)
     dz = (dh @ p["mix"].T).reshape(*inputs.shape, 2 * WIDTH)

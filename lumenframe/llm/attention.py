@@ -128,22 +128,34 @@ def fresh(vocabulary: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def _shift(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.concatenate([np.zeros_like(x[:1]), x[:-1]]), x], axis=1)
+    out = np.empty((len(x), 2 * BLOCK, x.shape[2]), x.dtype)
+    out[:, BLOCK:], out[1:, :BLOCK], out[:1, :BLOCK] = x, x[:-1], 0
+    return out
+
+
+def _projection(p: dict) -> np.ndarray:
+    """Query, key and value side by side, for one product."""
+    return np.concatenate([p["query"] * np.float32(KEY**-0.5), p["key"], p["value"]], axis=1)
 
 
 def _forward(p: dict, inputs: np.ndarray, first: np.ndarray):
     x = p["embedding"][inputs]
-    flat = x.reshape(-1, WIDTH)
-    q = (flat @ (p["query"] * np.float32(KEY**-0.5))).reshape(*inputs.shape, KEY)
-    k2, v2 = _shift((flat @ p["key"]).reshape(*inputs.shape, KEY)), _shift((flat @ p["value"]).reshape(*inputs.shape, WIDTH))
+    made = (x.reshape(-1, WIDTH) @ _projection(p)).reshape(*inputs.shape, -1)
+    q, kv = made[..., :KEY], _shift(made[..., KEY:])
+    k2, v2 = kv[..., :KEY], kv[..., KEY:]
     s = np.matmul(q, k2.transpose(0, 2, 1))
     s += p["back"][_BACK] + _CAUSAL
     s[first] += _FIRST
     np.minimum(s, 30, out=s)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    z = np.concatenate([x, np.matmul(s, v2)], axis=2).reshape(-1, 2 * WIDTH)
-    h = np.maximum(z @ p["mix"] + p["mix_bias"], 0)
+    s /= np.matmul(s, np.ones((2 * BLOCK, 1), np.float32))
+    z = np.empty((*inputs.shape, 2 * WIDTH), np.float32)
+    z[..., :WIDTH] = x
+    np.matmul(s, v2, out=z[..., WIDTH:])
+    z = z.reshape(-1, 2 * WIDTH)
+    h = z @ p["mix"]
+    h += p["mix_bias"]
+    np.maximum(h, 0, out=h)
     return x, q, k2, v2, s, z, h
 
 
@@ -209,9 +221,9 @@ class Scorer:
 
 def _softmax(x: np.ndarray) -> None:
     """Of each row, in place."""
-    x -= x.max(1, keepdims=True)
+    np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+    x /= x @ np.ones((x.shape[1], 1), np.float32)
 
 
 def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
@@ -222,33 +234,37 @@ def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, va
     group = t // members
     g: dict[str, np.ndarray] = {}
     before = inputs.reshape(-1)
-    a = h @ p["classes"]
+    a = prior.classes[before]
     a += p["class_bias"]
-    a += prior.classes[before]
+    a += h @ p["classes"]
     _softmax(a)
     a[np.arange(len(t)), group] -= 1
     a *= w[:, None]
-    g["classes"], g["class_bias"] = h.T @ a, a.sum(0)
+    g["classes"], g["class_bias"] = h.T @ a, np.ones(len(a), np.float32) @ a
     dh = a @ p["classes"].T
-    g["members"], g["member_bias"] = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
     # Places by class, so that only the products go class by class and all else is done at once; ids outside the table come last.
+    # A column of ones takes the bias along.
     order = np.argsort(group.astype(np.int16), kind="stable")
     ends = np.searchsorted(group[order], np.arange(len(p["members"]) + 1)).tolist()
     known = order[: ends[-1]]
-    own, of = h[known], group[known]
-    b, back = np.empty((len(known), members), np.float32), np.empty_like(own)
+    own, of = np.ones((len(known), HIDDEN + 1), np.float32), group[known]
+    np.take(h, known, axis=0, out=(back := np.empty((len(known), HIDDEN), np.float32)), mode="clip")
+    own[:, :HIDDEN] = back
+    weights = np.concatenate([p["members"], p["member_bias"][:, None]], axis=1)
+    dw = np.zeros_like(weights)
+    b = np.empty((len(known), members), np.float32)
     ranges = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if j > i]
     for c, rows in ranges:
-        np.matmul(own[rows], p["members"][c], out=b[rows])
-        b[rows] += p["member_bias"][c]
+        np.matmul(own[rows], weights[c], out=b[rows])
     b += prior.members[prior.place[before[known] * len(p["members"]) + of]]
     _softmax(b)
     b[np.arange(len(known)), t[known] - of * members] -= 1
     b *= w[known, None]
     for c, rows in ranges:
-        np.matmul(own[rows].T, b[rows], out=g["members"][c])
-        g["member_bias"][c] = b[rows].sum(0)
-        np.matmul(b[rows], p["members"][c].T, out=back[rows])
+        part = b[rows]
+        np.matmul(own[rows].T, part, out=dw[c])
+        np.matmul(part, p["members"][c].T, out=back[rows])
+    g["members"], g["member_bias"] = dw[:, :HIDDEN], dw[:, HIDDEN]
     dh[known] += back
     dh *= h > 0
     g["mix"], g["mix_bias"] = z.T @ dh, dh.sum(0)
@@ -256,16 +272,18 @@ def gradients(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, va
     dx, da = dz[..., :WIDTH].copy(), dz[..., WIDTH:]
     ds = np.matmul(da, v2.transpose(0, 2, 1))
     dv2 = np.matmul(s.transpose(0, 2, 1), da)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True))
+    ds *= s
+    ds -= s * np.matmul(ds, np.ones((2 * BLOCK, 1), np.float32))
     g["back"] = np.bincount(_BACK.ravel(), weights=ds.sum(0).ravel(), minlength=2 * BLOCK).astype(np.float32)
-    dq, dk2 = np.matmul(ds, k2), np.matmul(ds.transpose(0, 2, 1), q)
-    fold = lambda d: d[:, BLOCK:] + np.concatenate([d[1:, :BLOCK], np.zeros_like(d[:1, :BLOCK])])
-    flat = x.reshape(-1, WIDTH)
-    scale = np.float32(KEY**-0.5)
-    for name, d, k in (("query", dq * scale, KEY), ("key", fold(dk2), KEY), ("value", fold(dv2), WIDTH)):
-        d = d.reshape(-1, k)
-        g[name] = flat.T @ d
-        dx += (d @ p[name].T).reshape(dx.shape)
+    d = np.empty((*inputs.shape, 2 * KEY + WIDTH), np.float32)
+    np.matmul(ds, k2, out=d[..., :KEY])
+    for back, part in ((np.matmul(ds.transpose(0, 2, 1), q), slice(KEY, 2 * KEY)), (dv2, slice(2 * KEY, None))):
+        np.add(back[:-1, BLOCK:], back[1:, :BLOCK], out=d[:-1, :, part])
+        d[-1, :, part] = back[-1, BLOCK:]
+    d = d.reshape(-1, 2 * KEY + WIDTH)
+    made = x.reshape(-1, WIDTH).T @ d
+    g["query"], g["key"], g["value"] = made[:, :KEY] * np.float32(KEY**-0.5), made[:, KEY : 2 * KEY], made[:, 2 * KEY :]
+    dx += (d @ _projection(p).T).reshape(dx.shape)
     ids = inputs.reshape(-1)
     order = np.argsort(ids, kind="stable")
     begin = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
@@ -291,8 +309,9 @@ def train(p: dict, prior: Prior, sequences: list[np.ndarray], vocabulary: Vocabu
     best, most = p, held_back(p, prior, kept, vocabulary) if back else 0.0
     rng = np.random.default_rng(seed)
     inputs, targets, valid, first, _, _ = blocks_of(sequences, vocabulary)
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    flat = packed(p)
+    p = unpacked(flat, p)  # views: a step changes all at once
+    m, v, t = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     starts = np.arange(0, len(inputs), batch)
     steps, n = epochs * len(starts), 0
     for _ in range(epochs):
@@ -300,12 +319,20 @@ def train(p: dict, prior: Prior, sequences: list[np.ndarray], vocabulary: Vocabu
             n += 1
             begin = first[i : i + batch].copy()
             begin[0] = True
-            g = gradients(p, prior, inputs[i : i + batch], targets[i : i + batch], valid[i : i + batch], begin)
+            g = packed(gradients(p, prior, inputs[i : i + batch], targets[i : i + batch], valid[i : i + batch], begin))
             step = np.float32(rate * min(1.0, n / 20) * (1 - n / (steps + 1)) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n))
-            for k in p:
-                m[k] += np.float32(0.1) * (g[k] - m[k])
-                v[k] += np.float32(0.001) * (g[k] * g[k] - v[k])
-                p[k] -= step * m[k] / (np.sqrt(v[k]) + np.float32(1e-7))
+            np.subtract(g, m, out=t)
+            t *= np.float32(0.1)
+            m += t
+            g *= g
+            g -= v
+            g *= np.float32(0.001)
+            v += g
+            np.sqrt(v, out=t)
+            t += np.float32(1e-7)
+            np.divide(m, t, out=t)
+            t *= step
+            flat -= t
         if back and (now := held_back(p, prior, kept, vocabulary)) > most:
             best, most = {k: x.copy() for k, x in p.items()}, now
     return best if back else p
@@ -316,8 +343,9 @@ def packed(p: dict) -> np.ndarray:
 
 
 def unpacked(vector: np.ndarray, like: dict) -> dict:
+    """Views of the vector."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = vector[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = vector[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out

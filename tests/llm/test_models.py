@@ -397,6 +397,38 @@ def test_attention_probabilities_sum_to_one_and_match_gradients():
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(g[name][at], abs=2e-3)
 
 
+def test_gradients_of_all_parameters_and_steps_on_one_vector():
+    rng = np.random.default_rng(6)
+    vocabulary = attention.Vocabulary(np.arange(1, 101)[::-1], 3, size=2 * attention.MEMBERS)
+    prior = attention.Prior(vocabulary, rng.random((vocabulary.size + 2, vocabulary.size + 1)))
+    p = attention.fresh(vocabulary)
+    texts = [vocabulary.compact[rng.integers(0, 100, n)] for n in (0, 1, 70, 33)]
+    inputs, targets, valid, first, _, _ = attention.blocks_of(texts, vocabulary)
+    vector = attention.packed(p)
+    views = attention.unpacked(vector, p)
+    assert all(np.shares_memory(x, vector) and np.array_equal(x, p[k]) for k, x in views.items())
+    g = attention.packed(attention.gradients(p, prior, inputs, targets, valid, first))
+    loss = lambda q: -(attention.Scorer(q, prior).log_probabilities(inputs, targets, first) * valid).sum(dtype=np.float64) / valid.sum()
+    for name in p:
+        part = attention.unpacked(g, p)[name]
+        at = np.unravel_index(np.argmax(np.abs(part)), part.shape)
+        before, change = views[name][at], []
+        for way in (1e-2, -1e-2):
+            views[name][at] = before + np.float32(way)
+            change.append(loss(views))
+        views[name][at] = before
+        assert (change[0] - change[1]) / 2e-2 == pytest.approx(part[at], rel=0.05, abs=1e-4), name
+    # A step has the size of the rate times the sign of the gradient at first; the given parameters stay.
+    start = {k: x.copy() for k, x in p.items()}
+    ids = [x for x in texts if len(x) == 70]
+    trained = attention.train(p, prior, ids, vocabulary, 1, 0.1)
+    own = attention.gradients(p, prior, *attention.blocks_of(ids, vocabulary)[:4])
+    for k in p:
+        assert np.array_equal(p[k], start[k])
+        sure = np.abs(own[k]) > 1e-3
+        assert np.allclose((trained[k] - p[k])[sure], -0.1 / 20 / 2 * np.sign(own[k])[sure], rtol=0.02), k
+
+
 def test_long_text_scores_like_its_parts_in_chunks():
     vocabulary = attention.Vocabulary(np.arange(1, 41)[::-1], 2, size=2 * attention.MEMBERS)
     prior = attention.Prior(vocabulary, np.ones((vocabulary.size + 2, vocabulary.size + 1)))
